@@ -186,9 +186,20 @@ SUMS = {
 }
 
 
-def modes(suffix: str = "", pairs: str = "matched", steps: int = 25) -> str:
-    """Statistics, starting hyperparameters and posterior modes; names get a suffix."""
+def modes(
+    suffix: str = "", pairs: str = "matched", steps: int = 25, hyper: str | None = None
+) -> str:
+    """Statistics, starting hyperparameters and posterior modes; names get a suffix.
+
+    ``hyper`` is a query to take the hyperparameters from instead.
+    """
     s = suffix
+    hyper = hyper or f"""
+  SELECT variant, coalesce(avg(theta), 0) AS m,
+         coalesce(1 / greatest(var_samp(theta), 1e-4), 1) AS p,
+         coalesce(avg(beta), 0) AS m_cov,
+         coalesce(1 / greatest(var_samp(beta), 1e-4), 1) AS p_cov
+  FROM plug{s} GROUP BY variant"""
     variants = []
     for effect, cov, hits, size in (
         ("d", "tod", "false_zeros", "zero_pairs"),
@@ -256,12 +267,7 @@ plug{s} AS (
   SELECT site_id, location, variant, CASE WHEN size_0 > 0 THEN {p0} END AS theta,
          CASE WHEN size_0 > 0 AND size_1 > 0 THEN {p1} - ({p0}) END AS beta
   FROM eft{s}),
-hyper{s} AS MATERIALIZED (
-  SELECT variant, coalesce(avg(theta), 0) AS m,
-         coalesce(1 / greatest(var_samp(theta), 1e-4), 1) AS p,
-         coalesce(avg(beta), 0) AS m_cov,
-         coalesce(1 / greatest(var_samp(beta), 1e-4), 1) AS p_cov
-  FROM plug{s} GROUP BY variant),{chain},
+hyper{s} AS MATERIALIZED ({hyper}),{chain},
 modes{s} AS MATERIALIZED (
   SELECT *, (c1 + pc) / det AS theta_var,
          CASE WHEN contains(variant, '_') THEN (c0 + c1 + p) / det ELSE 0 END AS beta_var,
@@ -272,6 +278,53 @@ modes{s} AS MATERIALIZED (
 {", ".join(wide)}"""
 
 
+def grid_fit(levels: int = 13, points: int = 6, steps: int = 9) -> str:
+    """Maximum of the Laplace marginal of d, L and a, by a grid that narrows.
+
+    CTEs ending in ``best(variant, m, lp, total)``; a search of another kind than
+    the one it checks.
+    """
+    mean = "CASE WHEN variant = 'd' THEN size_0 / (1 + exp(-t)) ELSE size_0 * exp(t) END"
+    curve = (
+        "CASE WHEN variant = 'd' THEN size_0 / (1 + exp(-t)) / (1 + exp(t)) "
+        "ELSE size_0 * exp(t) END"
+    )
+    loglik = (
+        "CASE WHEN variant = 'd' THEN hits_0 * t - size_0 * (greatest(t, 0) + ln(1 + exp(-abs(t)))) "
+        "ELSE hits_0 * t - size_0 * exp(t) END"
+    )
+    ctes = """
+f AS MATERIALIZED (
+  SELECT variant, hits_0, size_0, coalesce(g.theta, 0) AS t
+  FROM eft e JOIN plug g USING (variant, site_id, location) WHERE variant IN ('d', 'L', 'a')),
+z0 AS MATERIALIZED (
+  SELECT DISTINCT variant, 0.0::DOUBLE AS m, 2.0::DOUBLE AS lp, 0.0::DOUBLE AS total FROM f)"""
+    for level in range(levels):
+        wm, wp = 3.0 * 0.4**level / points, 6.0 * 0.4**level / points
+        ctes += f""",
+s{level}_0 AS MATERIALIZED (
+  SELECT f.*, z.m + i * {wm!r}::DOUBLE AS m, z.lp + j * {wp!r}::DOUBLE AS lp,
+         exp(z.lp + j * {wp!r}::DOUBLE) AS p
+  FROM f JOIN z{level} z USING (variant), range({-points}, {points + 1}) a(i),
+       range({-points}, {points + 1}) b(j))"""
+        for k in range(steps):
+            ctes += f""",
+s{level}_{k + 1} AS MATERIALIZED (
+  SELECT variant, hits_0, size_0, m, lp, p,
+         t + greatest(-2, least(2, (hits_0 - mu - p * (t - m)) / (cu + p))) AS t
+  FROM (SELECT *, {mean} AS mu, {curve} AS cu FROM s{level}_{k}))"""
+        ctes += f""",
+z{level + 1} AS MATERIALIZED (
+  SELECT variant, arg_max(m, total) AS m, arg_max(lp, total) AS lp, max(total) AS total FROM (
+    SELECT variant, m, lp, sum({loglik} + 0.5 * ln(p) - 0.5 * p * (t - m) ** 2
+             - 0.5 * ln({curve} + p))
+           - 0.5 * (m / 2.0) ** 2 - ln(2.0) - {LN2PI!r}
+           + ({SHAPE} - 1) * lp - exp(lp) / {SCALE} - ({GAMMA_CONST!r}) AS total
+    FROM s{level}_{steps} GROUP BY variant, m, lp)
+  GROUP BY variant)"""
+    return ctes + f", best AS (SELECT * FROM z{levels})"
+
+
 def digest(*keys: str) -> str:
     return f"md5(concat_ws('|', '{SEED}', {', '.join(keys)}))"
 
@@ -451,13 +504,13 @@ rowll AS (
          - cam_count * exp(a) - lgamma(ground_count + 1)
   FROM positive f JOIN par1 p ON p.site_id = f.site_id AND p.location = f.cam_location),
 persensor AS (
-  SELECT p.site_id, p.location,
-         coalesce((SELECT sum(ll) FROM rowll r WHERE r.site_id = p.site_id AND r.location = p.location AND part = 'zero'), 0) AS zero,
-         coalesce((SELECT sum(ll) FROM rowll r WHERE r.site_id = p.site_id AND r.location = p.location AND part = 'false_zero'), 0) AS false_zero,
-         coalesce((SELECT sum(ll) FROM rowll r WHERE r.site_id = p.site_id AND r.location = p.location AND part = 'positive'), 0) AS positive,
-         (SELECT sum(0.5 * ln(h.p) - {ln2pi} - 0.5 * h.p * (CASE h.variant WHEN 'd' THEN p.d WHEN 'L' THEN p.L ELSE p.a END - h.m) ** 2)
+  SELECT q.site_id, q.location,
+         coalesce((SELECT sum(ll) FROM rowll r WHERE r.site_id = q.site_id AND r.location = q.location AND part = 'zero'), 0) AS zero,
+         coalesce((SELECT sum(ll) FROM rowll r WHERE r.site_id = q.site_id AND r.location = q.location AND part = 'false_zero'), 0) AS false_zero,
+         coalesce((SELECT sum(ll) FROM rowll r WHERE r.site_id = q.site_id AND r.location = q.location AND part = 'positive'), 0) AS positive,
+         (SELECT sum(0.5 * ln(h.p) - {ln2pi} - 0.5 * h.p * (CASE h.variant WHEN 'd' THEN q.d WHEN 'L' THEN q.L ELSE q.a END - h.m) ** 2)
           FROM hyper h WHERE h.variant IN ('d', 'L', 'a')) AS log_prior
-  FROM par1 p)""".replace("{ln2pi}", repr(LN2PI))
+  FROM par1 q)""".replace("{ln2pi}", repr(LN2PI))
 
 MEMBERS = ", ".join(
     f"({m}, '{v}')"
@@ -711,6 +764,11 @@ def _oracles() -> dict[str, str]:
         "(SELECT sum(zero + false_zero + positive) AS ll, sum(log_prior) AS pr, "
         f"any_value({hyper_prior}) AS hp FROM persensor)",
     )
+    o["m2_fit_hierarchical"] = sql(
+        modes(steps=1), grid_fit(),
+        "SELECT variant, round(m, 3) + 0.0 AS m, round(lp, 2) + 0.0 AS log_p, "
+        "round(total, 4) AS log_marginal, true AS converged FROM best",
+    )
     o["m3_modes_covariates"] = sql(
         modes(),
         rounded("modes", ["theta", "beta", "theta_var", "beta_var", "cov"],
@@ -786,6 +844,14 @@ def _oracles() -> dict[str, str]:
         modes(), IMPUTE, daily, GAPS, filled("daily"),
         rounded("annual", yearly, '"year", site_id, n_days'),
     )
+    fitted = modes(
+        "f", hyper="SELECT variant, m, exp(lp) AS p, 0.0::DOUBLE AS m_cov, 1.0::DOUBLE AS p_cov FROM best"
+    )
+    o["i6_effort_annual_fitted"] = sql(
+        modes(steps=1), grid_fit(levels=20), fitted, IMPUTE,
+        DAILY.format(expected("grp", "parf1")), GAPS, filled("daily"),
+        rounded("annual", yearly, '"year", site_id, n_days', 0),
+    )
     o["i6_effort_annual_draws"] = sql(
         modes(), IMPUTE, gdraws, GAPS, filled("ddraws", "draw, "),
         'SELECT "year", site_id, round(avg(effort), 6) AS mean, round(stddev_samp(effort), 6) AS '

@@ -55,6 +55,10 @@ def sites_with_ids(spark, sf):
     return P.site_table(names, P.normalize_sites(raw_sites(spark, sf)))
 
 
+def inputs(spark, sf):
+    return E.keyed_inputs(raw_obs(spark, sf), raw_sites(spark, sf), SETTINGS)
+
+
 def ground_and_cameras(spark, sf):
     return P.split_by_method(keyed(spark, sf))
 
@@ -64,7 +68,8 @@ def cameras(spark, sf):
 
 
 def pairs(spark, sf):
-    return R.matched_pairs(*ground_and_cameras(spark, sf))
+    rows = inputs(spark, sf)
+    return R.matched_pairs(rows.ground, rows.camera_copies)
 
 
 def seasons(spark, sf):
@@ -82,8 +87,9 @@ def imputed_rows(spark, sf):
 
 
 def effects(spark, sf):
-    ground, cams = ground_and_cameras(spark, sf)
-    return E.calibration_effects(R.matched_pairs(ground, cams), cams)
+    rows = inputs(spark, sf)
+    both = R.matched_pairs(rows.ground, rows.camera_copies)
+    return E.calibration_effects(both, rows.camera_copies)
 
 
 def modes(spark, sf):
@@ -92,12 +98,12 @@ def modes(spark, sf):
 
 
 def everything(spark, sf):
-    """Ground, cameras, pairs, effects, starting hyperparameters and modes."""
-    ground, cams = ground_and_cameras(spark, sf)
-    both = R.matched_pairs(ground, cams)
-    table = E.calibration_effects(both, cams)
+    """Inputs, pairs, effects, starting hyperparameters and modes."""
+    rows = inputs(spark, sf)
+    both = R.matched_pairs(rows.ground, rows.camera_copies)
+    table = E.calibration_effects(both, rows.camera_copies)
     hyper = M.start_hyper(table)
-    return ground, cams, both, table, hyper, M.effect_modes(table, hyper)
+    return rows, both, table, hyper, M.effect_modes(table, hyper)
 
 
 def given_days(spark, sf, n=S.N_DONORS):
@@ -359,8 +365,9 @@ def a7_sensor_p_seen(spark, sf):
 
 
 def a8_sensor_stats(spark, sf):
-    ground, cams = ground_and_cameras(spark, sf)
-    return M.sensor_stats(R.matched_pairs(ground, cams), C.sensors_of(cams))
+    rows = inputs(spark, sf)
+    both = R.matched_pairs(rows.ground, rows.camera_copies)
+    return M.sensor_stats(both, C.sensors_of(rows.camera_copies))
 
 
 def a9_sum_effort_daily(spark, sf):
@@ -484,7 +491,7 @@ def r2_season_day_calendar(spark, sf):
 
 
 def _log_posterior(spark, sf):
-    _, _, both, _, hyper, found = everything(spark, sf)
+    _, both, _, hyper, found = everything(spark, sf)
     hyper = materialize(hyper)
     params = materialize(M.sensor_params(found, 1))
     rows = M.row_log_likelihood(both, R.true_zero_counts(both), params)
@@ -524,7 +531,7 @@ def m4_standard_errors(spark, sf):
 
 
 def m4_positive_mean_errors(spark, sf):
-    _, _, both, _, _, found = everything(spark, sf)
+    _, both, _, _, found = everything(spark, sf)
     params = materialize(M.sensor_params(found, 1))
     return rounded(M.positive_mean_errors(both, params))
 
@@ -540,7 +547,7 @@ def m6_thin_draws(spark, sf):
 
 
 def _dic(spark, sf):
-    _, _, both, table, _, found = everything(spark, sf)
+    _, both, table, _, found = everything(spark, sf)
     draws = M.draw_effects(found, 40, SEED)
     constant = M.log_constants(both, R.true_zero_counts(both))
     return M.model_dic(M.variant_deviance(draws, table), constant)
@@ -559,10 +566,9 @@ def m8_new_sensor_draws(spark, sf):
 
 def expected_daily(spark, sf, p_seen_mode="none", model=1):
     """Seasons, expected daily effort, groups and parameters."""
-    ground, cams = ground_and_cameras(spark, sf)
-    found = E.kept_seasons(cams, SETTINGS)
-    table = E.calibration_effects(R.matched_pairs(ground, cams), cams)
-    params = materialize(M.sensor_params(M.effect_modes(table, M.start_hyper(table)), model))
+    rows, _, _, _, pooled = everything(spark, sf)
+    found = E.kept_seasons(rows.cameras, SETTINGS)
+    params = materialize(M.sensor_params(pooled, model))
     groups = I.effort_groups(found.hours)
     expected = I.expected_effort(groups, params, p_seen_mode)
     return found, I.sum_effort_daily(expected), groups, params, expected
@@ -583,7 +589,8 @@ def i1_expected_effort_covariates(spark, sf):
 
 
 def i1_expected_effort_by_row(spark, sf):
-    _, cams, _, _, _, found = everything(spark, sf)
+    rows, _, _, _, found = everything(spark, sf)
+    cams = rows.cameras
     rows = kept_rows(cams, E.kept_seasons(cams, SETTINGS))
     params = materialize(M.sensor_params(found, 1))
     expected = I.expected_effort(I.as_groups(C.sensors_per_slot(rows)), params, "prob")
@@ -591,7 +598,8 @@ def i1_expected_effort_by_row(spark, sf):
 
 
 def _row_draws(spark, sf, part):
-    _, cams, _, _, _, found = everything(spark, sf)
+    rows, _, _, _, found = everything(spark, sf)
+    cams = rows.cameras
     rows = C.sensors_per_slot(kept_rows(cams, E.kept_seasons(cams, SETTINGS)))
     params = materialize(M.sensor_params(found, 1))
     drawn = part(rows, params, n_draws=3, seed=SEED)
@@ -635,13 +643,15 @@ def i6_effort_annual_draws(spark, sf):
 
 def i6_effort_annual_fitted(spark, sf):
     """The whole job, with fitted hyperparameters."""
-    return E.impute_effort(raw_obs(spark, sf), raw_sites(spark, sf), SETTINGS)["annual"]
+    found = E.impute_effort(raw_obs(spark, sf), raw_sites(spark, sf), SETTINGS)
+    return rounded(found["annual"], 0)
 
 
 def _holdout(spark, sf):
-    _, cams, both, _, _, _ = everything(spark, sf)
+    rows = inputs(spark, sf)
+    both = R.matched_pairs(rows.ground, rows.camera_copies)
     training, validation = R.holdout_split(both, seed=SEED)
-    table = E.calibration_effects(training, cams)
+    table = E.calibration_effects(training, rows.camera_copies)
     params = M.sensor_params(M.effect_modes(table, M.start_hyper(table)), 1)
     return I.holdout_rows(validation), materialize(params)
 

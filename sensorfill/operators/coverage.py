@@ -215,12 +215,13 @@ def sensors_per_slot(rows: DataFrame) -> DataFrame:
     """Add ``n_cam``: rows of the same part, site-season, day and hour.
 
     Counted by an aggregate and joined back, so that an hour with very many rows
-    is combined before the shuffle and its rows can be split between tasks.
+    is combined before the shuffle and its rows can be split between tasks; a
+    window would hold them in one.
     """
     rows = rows.filter(is_zero() | is_positive()).withColumn("is_zero", is_zero())
     keys = [*S.SEASON_DAY, "hour", "is_zero"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cam"))
-    return rows.join(counts, keys)
+    return lookup_join(rows, counts, keys)
 
 
 def day_index(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from sensorfill import schema as S
 from sensorfill.functions.draws import key_digest, thinned_poisson, uniform
 from sensorfill.functions.numeric import invlogit
 from sensorfill.operators.coverage import is_positive, is_zero
-from sensorfill.operators.scale import lookup_join
+from sensorfill.operators.scale import default_tasks, lookup_join
 
 P_SEEN_MODES = ("none", "logit", "prob")
 _EFFECTS = ["d", "d_cov", "L", "L_cov", "a", "a_cov"]
@@ -54,9 +54,11 @@ def effort_groups(hours: DataFrame) -> DataFrame:
     sum over the sensors of a site.
     """
     hour = Window.partitionBy(*S.SEASON_DAY, "hour", "is_zero")
+    # Placed by day once: the window, this sum and the sum over a day all fit it.
     return (
         hours.filter(F.col("is_zero").isNotNull())
         .select(*_GROUP, "hour", "n_rows", "cam_sum")
+        .repartition(*S.SEASON_DAY)
         .withColumn("n_cam", F.sum("n_rows").over(hour))
         .groupBy(*_GROUP, "n_cam")
         .agg(F.sum("n_rows").alias("n_rows"), F.sum("cam_sum").alias("cam_sum"))
@@ -125,15 +127,10 @@ def draw_efforts(
     parameters are held fixed and only the counts are drawn; without it, ``params``
     is a table of parameter draws and each is used once.
     """
-    spread = groups
     if n_draws is None:
-        on = S.SENSOR
-        known = params.select("draw", *S.SENSOR, *_EFFECTS)
+        joined = groups.join(params.select("draw", *S.SENSOR, *_EFFECTS), S.SENSOR)
     else:
-        on = S.SENSOR
-        known = params.select(*S.SENSOR, *_EFFECTS)
-    joined = lookup_join(spread, known, on)
-    if n_draws is not None:
+        joined = lookup_join(groups, params.select(*S.SENSOR, *_EFFECTS), S.SENSOR)
         joined = joined.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     digest = key_digest(
         seed, F.col("is_zero").cast("int"), *[F.col(k) for k in key], F.col("draw")
@@ -181,15 +178,11 @@ def effort_draws(
     """Daily effort of every site-season at each draw.
 
     Groups are placed by site-season and day before they are multiplied by the
-    draws, so the sums over a day need no further shuffle.
+    draws, so a day's sum is complete before it is shuffled: what is shuffled is
+    the result, not the drawn counts.
     """
-    spark = groups.sparkSession
     # A set number of partitions: they are small now and grow with the draws.
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        spark.sparkContext.defaultParallelism,
-    )
-    placed = groups.repartition(tasks, *S.SEASON_DAY)
+    placed = groups.repartition(default_tasks(groups.sparkSession), *S.SEASON_DAY)
     key = [*S.SEASON_DAY, "location", "time_of_day", "weekend", "n_cam"]
     drawn = draw_efforts(placed, params, key, n_draws, seed, p_seen_mode)
     return sum_effort_daily(drawn, ["draw"])
@@ -212,7 +205,7 @@ def holdout_rows(validation: DataFrame) -> DataFrame:
     rows = rows.filter(is_zero() | is_positive()).withColumn("is_zero", is_zero())
     keys = [*S.SEASON_DAY, "hour", "is_zero"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cam"))
-    return rows.join(counts, keys)
+    return lookup_join(rows, counts, keys)
 
 
 def holdout_error(imputed: DataFrame, by: Sequence[str] = ()) -> DataFrame:

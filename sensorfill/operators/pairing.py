@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorfill import schema as S
 from sensorfill.functions.draws import key_digest, uniform
+from sensorfill.operators.scale import materialize
 
 TRUE_ZERO_KEYS = [
     "p_seen", "area", "weekend", "time_of_day", "hour", "year", "cam_location", "site_id",
@@ -19,7 +20,8 @@ def first_camera_counts(cameras: DataFrame) -> DataFrame:
     """The first camera row of each site, slot and location.
 
     An aggregate with partial sums instead of a ranked window: a slot with any
-    number of camera rows reaches the shuffle as one row per task.
+    number of camera rows reaches the shuffle as one row per task. Copies of a row
+    change nothing, so the camera rows need no deduplication first.
     """
     return cameras.groupBy(
         "site_id", "slot", F.col("location").alias("cam_location")
@@ -57,7 +59,9 @@ def pair_counts(ground: DataFrame, cameras: DataFrame) -> DataFrame:
         .distinct()
         .agg(F.array_sort(F.collect_list("location")))
     )
-    first = first_camera_counts(cameras).withColumn("matched", F.lit(True))
+    # Written first, so that both sides of the join are shuffled for it and adaptive
+    # execution can split a slot with very many ground rows.
+    first = materialize(first_camera_counts(cameras)).withColumn("matched", F.lit(True))
     spread = ground.withColumn("cam_location", F.explode(codes.scalar()))
     return _with_sensor_code(spread.join(first, ["site_id", "slot", "cam_location"], "left"))
 

@@ -39,8 +39,9 @@ def assign_site_ids(observations: DataFrame) -> DataFrame:
 
 def site_table(observations: DataFrame, sites: DataFrame) -> DataFrame:
     """One row per observed site: its id and its attributes, matched by name."""
-    ids = assign_site_ids(observations)
-    return ids.join(sites.select("name", *S.SITE_ATTRIBUTES), "name", "left")
+    names = observations.select("name").distinct()
+    attributes = sites.select("name", *S.SITE_ATTRIBUTES)
+    return global_index(names.join(attributes, "name", "left"), ["name"], "site_id")
 
 
 def join_sites(observations: DataFrame, site_dim: DataFrame) -> DataFrame:
@@ -97,14 +98,21 @@ def split_by_method(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ground_rows(keyed), camera_rows(keyed)
 
 
+def key_rows(
+    observations: DataFrame, site_dim: DataFrame, excluded: Sequence[str] = S.EXCLUDED_SITES
+) -> DataFrame:
+    """Normalized rows with site ids, attributes and keys."""
+    return add_keys(join_sites(exclude_sites(observations, excluded), site_dim))
+
+
 def prepare_observations(
     raw_observations: DataFrame,
     raw_sites: DataFrame,
     excluded: Sequence[str] = S.EXCLUDED_SITES,
 ) -> DataFrame:
     """Raw tables to unique, keyed observations with site attributes."""
-    observations = normalize_observations(dedup_rows(raw_observations))
+    copies = normalize_observations(raw_observations)
     # Ids need the names only: a scan of one column, without the deduplication.
-    names = normalize_observations(raw_observations).select("name")
-    site_dim = site_table(names, normalize_sites(raw_sites))
-    return add_keys(join_sites(exclude_sites(observations, excluded), site_dim))
+    site_dim = site_table(copies, normalize_sites(raw_sites))
+    unique = normalize_observations(dedup_rows(raw_observations))
+    return key_rows(unique, site_dim, excluded)

@@ -3,17 +3,18 @@
 * ``materialize`` writes a table to the shared checkpoint folder, so later steps
   neither recompute it nor depend on the executors that made it.
 * ``lookup_join`` broadcasts the lookup side only after measuring it.
-* ``running_sums`` / ``global_index`` number rows over a whole table by a range
+* ``running_sums`` and ``global_index`` number rows over a whole table by a range
   partitioned sort plus one offset per partition, never in a single task.
 * ``running_number`` numbers rows inside groups of any size.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,19 +39,33 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def default_tasks(spark: SparkSession) -> int:
+    """Partitions for rows that are few but costly to work on."""
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism,
+    )
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a table of plain columns: eight bytes a field plus the text."""
+def materialize_measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize``, and the size of the table as seen while writing.
+
+    Eight bytes a field plus the text. A task that is retried may be counted
+    twice, so the size is never too small.
+    """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     size = F.count(F.lit(1)) * (8 * len(df.columns))
     for name in text:
         size = size + F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
-    return df.agg(size.alias("bytes")).first()["bytes"]
+    seen = Observation()
+    written = materialize(df.observe(seen, size.alias("bytes")))
+    return written, seen.get["bytes"]
 
 
 def lookup_join(
@@ -62,14 +77,44 @@ def lookup_join(
 ) -> DataFrame:
     """Join a big table to a lookup table.
 
-    A measured lookup below ``limit`` is broadcast, so the big side is not
-    shuffled. Beyond it this is an ordinary shuffle join, in which adaptive
-    execution splits hot keys. Pass a lookup that is cheap to read twice.
+    The lookup is written and measured first. Up to ``limit`` it is broadcast, so
+    the big side is not shuffled. Beyond it this is an ordinary shuffle join, in
+    which adaptive execution splits hot keys.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if measured_bytes(lookup) <= limit:
-        lookup = F.broadcast(lookup)
-    return df.join(lookup, on, how)
+    lookup, size = materialize_measured(lookup)
+    return df.join(F.broadcast(lookup) if size <= limit else lookup, on, how)
+
+
+def _ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` range partitioned and sorted, written, with its row numbers as ``_row``."""
+    return materialize(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _part() -> Column:
+    return F.shiftright("_row", _PARTITION_BIT).cast("int")
+
+
+def _before(ordered: DataFrame, totals: Mapping[str, Column]) -> dict[str, Column]:
+    """For each total, its sum over the partitions before a row's own.
+
+    The totals are one number per partition of the sort, a few thousand on a large
+    cluster, and come back as literals.
+    """
+    parts = ordered.rdd.getNumPartitions()
+    if parts == 1:
+        return {name: F.lit(0).cast("bigint") for name in totals}
+    found = ordered.groupBy(_part().alias("_part")).agg(
+        *[F.sum(c).alias(name) for name, c in totals.items()]
+    )
+    rows = {r["_part"]: r for r in found.collect()}
+    out = {}
+    for name in totals:
+        sums = [rows[i][name] if i in rows else 0 for i in range(parts)]
+        starts = list(itertools.accumulate(sums, initial=0))[:-1]
+        literal = F.expr("array(" + ", ".join(f"{n}L" for n in starts) + ")")
+        out[name] = F.element_at(literal, _part() + 1)
+    return out
 
 
 def running_sums(
@@ -79,53 +124,26 @@ def running_sums(
 
     ``order`` must be unique, or rows that tie must have interchangeable sums.
     """
-    ordered = df.select(
+    weighted = df.select(
         "*", *[c.cast("bigint").alias(f"_w_{name}") for name, c in sums.items()]
-    ).orderBy(*order)
-    ordered = materialize(ordered.withColumn("_row", F.monotonically_increasing_id()))
-    ordered = ordered.withColumn("_part", F.shiftright("_row", _PARTITION_BIT).cast("int"))
-
-    # One row per partition of the sort: a few thousand on a large cluster.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ordered.groupBy("_part")
-        .agg(*[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in sums])
-        .select(
-            "_part",
-            *[
-                F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
-                for name in sums
-            ],
-        )
     )
-    within = Window.partitionBy("_part").orderBy("_row")
+    ordered = _ordered(weighted, order)
+    before = _before(ordered, {name: F.col(f"_w_{name}") for name in sums})
+    # One partition of the sort per window.
+    within = Window.partitionBy(_part()).orderBy("_row")
     within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = ordered.join(F.broadcast(offsets), "_part")
-    return joined.select(
+    return ordered.select(
         *df.columns,
-        *[(F.col(f"_o_{name}") + F.sum(f"_w_{name}").over(within)).alias(name) for name in sums],
+        *[(before[name] + F.sum(f"_w_{name}").over(within)).alias(name) for name in sums],
     )
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Number the rows 1..n in ``order``, which must be unique."""
-    ordered = df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id())
-    ordered = materialize(ordered)
-    part = F.shiftright("_row", _PARTITION_BIT).cast("int").alias("_part")
+    ordered = _ordered(df, order)
     in_part = F.col("_row").bitwiseAND(F.lit((1 << _PARTITION_BIT) - 1))
-
-    # One row per partition of the sort: a few thousand on a large cluster.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ordered.groupBy(part)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        ordered.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .select(*df.columns, (F.col("_before") + in_part + 1).cast("int").alias(name))
-    )
+    before = _before(ordered, {"n": F.lit(1)})["n"]
+    return ordered.select(*df.columns, (before + in_part + 1).cast("int").alias(name))
 
 
 def running_number(

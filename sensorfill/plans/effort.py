@@ -1,9 +1,9 @@
 """Whole jobs: calibrate, impute, fill and report.
 
-The observations are read three times and never written whole: once for the site
-names, once for the pairs (down to twelve sums per sensor), once for the camera
-rows (down to counts per hour and sensor). The sums and the counts are written to
-the checkpoint folder; every later step starts from them.
+The observations are never written whole. They are read for the site names, for
+the pairs (down to twelve sums per sensor) and for the camera rows (down to counts
+per hour and sensor). The sums and the counts are written to the checkpoint
+folder; every later step starts from them.
 """
 
 from __future__ import annotations
@@ -48,6 +48,19 @@ class Settings:
     restrict_calibration: bool = False
 
 
+@dataclass(frozen=True)
+class Inputs:
+    """Keyed rows of a run.
+
+    ``ground`` and ``cameras`` are free of copies. ``camera_copies`` is not: what
+    copies cannot change is taken from it, and spared a shuffle of all rows.
+    """
+
+    ground: DataFrame
+    cameras: DataFrame
+    camera_copies: DataFrame
+
+
 @dataclass(frozen=True)
 class Seasons:
     """Hour counts of the kept site-seasons and what follows from them."""
@@ -57,6 +70,22 @@ class Seasons:
     coverage: DataFrame
 
 
+def keyed_inputs(
+    raw_observations: DataFrame, raw_sites: DataFrame, settings: Settings = Settings()
+) -> Inputs:
+    copies = prepare.normalize_observations(raw_observations)
+    site_dim = prepare.site_table(copies, prepare.normalize_sites(raw_sites))
+    unique = prepare.normalize_observations(prepare.dedup_rows(raw_observations))
+    ground, cameras = prepare.split_by_method(
+        prepare.key_rows(unique, site_dim, settings.excluded)
+    )
+    return Inputs(
+        ground,
+        cameras,
+        prepare.camera_rows(prepare.key_rows(copies, site_dim, settings.excluded)),
+    )
+
+
 def kept_seasons(cameras: DataFrame, settings: Settings = Settings()) -> Seasons:
     """Count the camera rows once and drop site-seasons with low coverage."""
     rows = coverage.imputation_rows(cameras, settings.min_year)
@@ -111,15 +140,14 @@ def impute_effort(
     comparison (with ``run_all``) and ``error`` the hold-out error (with
     ``eval_fit``). All but the fit are lazy.
     """
-    observations = prepare.prepare_observations(raw_observations, raw_sites, settings.excluded)
-    ground, cameras = prepare.split_by_method(observations)
-    pairs = pairing.matched_pairs(ground, cameras)
-    seasons = kept_seasons(cameras, settings)
+    rows = keyed_inputs(raw_observations, raw_sites, settings)
+    pairs = pairing.matched_pairs(rows.ground, rows.camera_copies)
+    seasons = kept_seasons(rows.cameras, settings)
     validation = None
     if settings.eval_fit:
         pairs, validation = pairing.holdout_split(pairs, settings.psamp, settings.seed)
 
-    effects = calibration_effects(pairs, cameras, seasons, settings)
+    effects = calibration_effects(pairs, rows.camera_copies, seasons, settings)
     fit = model.fit_hierarchical(effects)
     modes = materialize(model.effect_modes(effects, fit))
     out = {"fit": fit, "coverage": seasons.coverage}
