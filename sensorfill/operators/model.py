@@ -160,7 +160,7 @@ def start_hyper(effects: DataFrame) -> DataFrame:
 
 
 def _terms(theta: Column, beta: Column) -> list[Column]:
-    """Log-likelihood, gradient and curvature of a sensor's effect, both levels."""
+    """Log-likelihood and curvature of a sensor's effect, at both levels."""
     logistic = _is_logistic()
     out = []
     for x, eta in ((0, theta), (1, theta + beta)):
@@ -168,11 +168,52 @@ def _terms(theta: Column, beta: Column) -> list[Column]:
         prob = invlogit(eta)
         fitted = size * F.when(logistic, prob).otherwise(F.exp(eta))
         curve = F.when(logistic, fitted * (1 - prob)).otherwise(fitted)
-        value = hits * eta - F.when(logistic, size * log1p_exp(eta)).otherwise(fitted)
-        out += [value, hits - fitted, curve]
+        out += [hits * eta - F.when(logistic, size * log1p_exp(eta)).otherwise(fitted), curve]
     return out
 
 
+def _best(x: int) -> tuple[Column, Column, Column]:
+    """Whether level ``x`` has an inner best value, that value, and the share of hits."""
+    hits, size = F.col(f"hits_{x}"), F.col(f"size_{x}")
+    inner = (hits > 0) & (~_is_logistic() | (hits < size))
+    rest = F.when(_is_logistic(), size - hits).otherwise(size)
+    value = F.when(inner, F.ln(F.try_divide(hits, rest)))
+    return inner, value, F.try_divide(hits, size)
+
+
+def _best_loglik() -> Column:
+    """Largest log-likelihood a sensor's own values could reach, both levels."""
+    total = F.lit(0.0)
+    for x in (0, 1):
+        hits, size = F.col(f"hits_{x}"), F.col(f"size_{x}")
+        inner, value, _ = _best(x)
+        at_best = hits * value - F.when(_is_logistic(), size * log1p_exp(value)).otherwise(hits)
+        total = total + F.when(inner, at_best).otherwise(0.0)
+    return total
+
+
+def _shortfall(theta: Column, beta: Column) -> Column:
+    """Log-likelihood at (theta, beta) less ``_best_loglik``, without cancellation.
+
+    The two are as large as the number of rows, their difference is not: sums of
+    it over sensors keep their digits whatever the size of the data.
+    """
+    logistic, total = _is_logistic(), F.lit(0.0)
+    for x, eta in ((0, theta), (1, theta + beta)):
+        hits, size = F.col(f"hits_{x}"), F.col(f"size_{x}")
+        inner, value, share = _best(x)
+        move = eta - value
+        lost = F.when(logistic, size * F.log1p(share * F.expm1(move))).otherwise(
+            hits * F.expm1(move)
+        )
+        # All or no hits: nothing large to subtract.
+        plain = hits * eta - F.when(logistic, size * log1p_exp(eta)).otherwise(size * F.exp(eta))
+        all_hits = logistic & (hits > 0) & (hits == size)
+        plain = F.when(all_hits, -size * log1p_exp(-eta)).otherwise(plain)
+        total = total + F.when(inner, hits * move - lost).otherwise(plain)
+    return total
+
+
 def _newton():
     """Pandas UDF: the posterior mode (theta, beta) of each row.
 
@@ -221,6 +262,7 @@ def _newton():
 def with_modes(effects: DataFrame) -> DataFrame:
     """Add the posterior mode, its covariance and the Laplace log evidence.
 
+    The evidence is relative to ``_best_loglik``, which no hyperparameter enters.
     ``effects`` carries the hyperparameters ``m, p, m_cov, p_cov`` on each row.
     Without a covariate beta stays at its mean and adds nothing.
     """
@@ -229,11 +271,11 @@ def with_modes(effects: DataFrame) -> DataFrame:
     out = effects.withColumn("_mode", _newton()(_is_logistic(), *counts, m, p, mc, pc))
     out = out.withColumns({"theta": F.col("_mode.theta"), "beta": F.col("_mode.beta")})
     theta, beta = F.col("theta"), F.col("beta")
-    v0, _, c0, v1, _, c1 = _terms(theta, beta)
+    _, c0, _, c1 = _terms(theta, beta)
     htt, htb, hbb = c0 + c1 + p, c1, c1 + pc
-    det = htt * hbb - htb * htb
+    det = c0 * hbb + p * hbb + c1 * pc
     evidence = (
-        v0 + v1
+        _shortfall(theta, beta)
         + 0.5 * F.ln(p) - 0.5 * p * F.pow(theta - m, F.lit(2.0))
         + 0.5 * F.ln(pc) - 0.5 * pc * F.pow(beta - mc, F.lit(2.0))
         - 0.5 * F.ln(det)
@@ -287,7 +329,7 @@ def marginal_at(
 ) -> dict[str, list[float]]:
     """Laplace log marginal posterior of each variant at each of its points.
 
-    One job for all variants and points; one number per point comes back.
+    Relative to the sum of ``_best_loglik``, a constant of the data. One job for all variants and points; one number per point comes back.
     """
     spark: SparkSession = effects.sparkSession
     rows = [(i, *_as_row(v, x)) for v, xs in points.items() for i, x in enumerate(xs)]
@@ -354,6 +396,10 @@ def fit_hierarchical(
     tasks = default_tasks(effects.sparkSession)
     wanted = effects.filter(F.col("variant").isin(*variants))
     effects = materialize(wanted.repartition(tasks, *S.SENSOR))
+    constants = {
+        r["variant"]: r["total"]
+        for r in effects.groupBy("variant").agg(F.sum(_best_loglik()).alias("total")).collect()
+    }
     now, value, done = {}, {}, {}
     for row in start_hyper(effects).collect():  # one row per variant
         v = row["variant"]
@@ -406,7 +452,7 @@ def fit_hierarchical(
             for i, x in enumerate(variance):
                 errors[i] = float(math.sqrt(x)) if x > 0 else None
         _, m, p, mc, pc = _as_row(v, now[v])
-        total = float(value[v]) if math.isfinite(value[v]) else None
+        total = float(value[v]) + constants[v] if math.isfinite(value[v]) else None
         rows.append((v, m, p, mc, pc, *errors, total, bool(done.get(v, False))))
     return effects.sparkSession.createDataFrame(
         rows,
@@ -507,27 +553,27 @@ def log_posterior(
     row_loglik: DataFrame, params: DataFrame, hyper: DataFrame
 ) -> DataFrame:
     """Per sensor: log-likelihood of each part and log prior of its effects."""
-    parts = row_loglik.groupBy(*S.SENSOR).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("part") == p, F.col("loglik"))), F.lit(0.0)).alias(p)
-            for p in ("zero", "false_zero", "positive")
-        ]
-    )
-    prior = F.lit(0.0)
+    stacked: list[Column] = []
     for e in EFFECTS:
-        prior = prior + normal_logpdf(F.col(e), F.col(f"m_{e}"), F.col(f"p_{e}"))
-    wide = hyper.agg(
-        *[
-            F.max(F.when(F.col("variant") == e, F.col(c))).alias(f"{c}_{e}")
-            for e in EFFECTS
-            for c in ("m", "p")
-        ]
+        stacked += [F.lit(e), F.col(e)]
+    effects = params.select(
+        *S.SENSOR, F.stack(F.lit(len(EFFECTS)), *stacked).alias("variant", "theta")
+    )
+    # Three rows, one per effect.
+    density = normal_logpdf(F.col("theta"), F.col("m"), F.col("p"))
+    prior = effects.join(F.broadcast(hyper.select("variant", "m", "p")), "variant").select(
+        *S.SENSOR, F.lit("log_prior").alias("part"), density.alias("loglik")
+    )
+    return (
+        row_loglik.unionByName(prior)
+        .groupBy(*S.SENSOR)
+        .agg(
+            *[
+                F.sum(F.when(F.col("part") == part, F.col("loglik")).otherwise(0.0)).alias(part)
+                for part in ("zero", "false_zero", "positive", "log_prior")
+            ]
+        )
     )
-    one = F.lit(1).alias("_one")
-    densities = (
-        params.select("*", one).join(F.broadcast(wide.select("*", one)), "_one")
-    ).select(*S.SENSOR, prior.alias("log_prior"))
-    return densities.join(parts, S.SENSOR, "left").na.fill(0.0)
 
 
 def total_log_posterior(per_sensor: DataFrame, hyper: DataFrame) -> DataFrame:
@@ -676,7 +722,7 @@ def log_constants(pairs: DataFrame, true_zero_counts: DataFrame) -> DataFrame:
 def variant_deviance(effect_draws: DataFrame, effects: DataFrame) -> DataFrame:
     """Deviance of each variant at each draw, up to the constant."""
     joined = effect_draws.join(effects, ["variant", *S.SENSOR])
-    v0, _, _, v1, _, _ = _terms(F.col("theta"), F.col("beta"))
+    v0, _, v1, _ = _terms(F.col("theta"), F.col("beta"))
     return joined.groupBy("variant", "draw").agg((-2.0 * F.sum(v0 + v1)).alias("deviance"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorfill import schema as S
-from sensorfill.operators.scale import global_index, lookup_join
+from sensorfill.operators.scale import as_lookup, global_index
 
 
 def dedup_rows(df: DataFrame, seq: str = "obs_seq") -> DataFrame:
@@ -41,12 +41,13 @@ def site_table(observations: DataFrame, sites: DataFrame) -> DataFrame:
     """One row per observed site: its id and its attributes, matched by name."""
     names = observations.select("name").distinct()
     attributes = sites.select("name", *S.SITE_ATTRIBUTES)
-    return global_index(names.join(attributes, "name", "left"), ["name"], "site_id")
+    numbered = global_index(names.join(attributes, "name", "left"), ["name"], "site_id")
+    return as_lookup(numbered)
 
 
 def join_sites(observations: DataFrame, site_dim: DataFrame) -> DataFrame:
-    """Attach site id and attributes; a site without attributes gets NULLs."""
-    return lookup_join(observations, site_dim, "name", "left")
+    """Attach the columns of ``site_table``; a site without attributes gets NULLs."""
+    return observations.join(site_dim, "name", "left")
 
 
 def exclude_sites(df: DataFrame, names: Sequence[str] = S.EXCLUDED_SITES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 * ``materialize`` writes a table to the shared checkpoint folder, so later steps
   neither recompute it nor depend on the executors that made it.
-* ``lookup_join`` broadcasts the lookup side only after measuring it.
+* ``as_lookup`` and ``lookup_join`` broadcast a table only after measuring it.
 * ``running_sums`` and ``global_index`` number rows over a whole table by a range
   partitioned sort plus one offset per partition, never in a single task.
 * ``running_number`` numbers rows inside groups of any size.
@@ -68,6 +68,16 @@ def materialize_measured(df: DataFrame) -> tuple[DataFrame, int]:
     return written, seen.get["bytes"]
 
 
+def as_lookup(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written, measured, and marked for broadcast if it is small enough.
+
+    Beyond ``limit`` joins with it are ordinary shuffle joins, in which adaptive
+    execution splits hot keys.
+    """
+    written, size = materialize_measured(df)
+    return F.broadcast(written) if size <= limit else written
+
+
 def lookup_join(
     df: DataFrame,
     lookup: DataFrame,
@@ -75,15 +85,8 @@ def lookup_join(
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join a big table to a lookup table.
-
-    The lookup is written and measured first. Up to ``limit`` it is broadcast, so
-    the big side is not shuffled. Beyond it this is an ordinary shuffle join, in
-    which adaptive execution splits hot keys.
-    """
-    on = [on] if isinstance(on, str) else list(on)
-    lookup, size = materialize_measured(lookup)
-    return df.join(F.broadcast(lookup) if size <= limit else lookup, on, how)
+    """Join a big table to a lookup table; small lookups spare it a shuffle."""
+    return df.join(as_lookup(lookup, limit), [on] if isinstance(on, str) else list(on), how)
 
 
 def _ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:

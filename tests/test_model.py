@@ -75,8 +75,38 @@ def test_marginal_equals_brute_force(spark):
         (logistic_sensors(rng, 6, -0.5, 9, mc=0.3, pc=20, variant="d_tod"), [(0.1, 1.0, -0.5, 2.0)]),
     ):
         rows = rows + [(99, 1, rows[0][2], 0.0, 0.0, 0.0, 0.0)]  # a sensor without pairs
-        got = model.marginal_at(table(spark, rows), {rows[0][2]: points})[rows[0][2]]
-        assert np.allclose(got, [laplace(rows, *x) for x in points], rtol=1e-10)
+        df = table(spark, rows)
+        best = df.agg(F.sum(model._best_loglik())).first()[0]
+        got = model.marginal_at(df, {rows[0][2]: points})[rows[0][2]]
+        assert np.allclose(np.array(got) + best, [laplace(rows, *x) for x in points], rtol=1e-10)
+
+
+@pytest.mark.parametrize("scale", [1, 10**9])
+def test_fit_keeps_its_digits_on_huge_counts(spark, scale):
+    """Counts a billion times as large: the sensors' own values become exact."""
+    rng = np.random.default_rng(5)
+    rows = poisson_sensors(rng, 30, 0.5, 9.0, size=200 * scale)
+    rows += logistic_sensors(rng, 30, 0.2, 4.0, size=200 * scale)
+    rows += poisson_sensors(rng, 30, 0.5, 9.0, size=200 * scale, mc=0.3, pc=16.0, variant="a_wk")
+    # Sensors with all, no or hardly any hits.
+    rows += [(90, 1, "d", 200.0 * scale, 200.0 * scale, 0.0, 0.0), (91, 1, "d", 0.0, 5.0, 0.0, 0.0)]
+    rows += [(92, 1, "L", 0.0, 3.0, 0.0, 0.0), (93, 1, "a_wk", 4.0, 3.0, 0.0, 2.0)]
+    rounds = []
+    kept, model.marginal_at = model.marginal_at, lambda *a: rounds.append(1) or kept(*a)
+    try:
+        fit = {r["variant"]: r for r in model.fit_hierarchical(table(spark, rows), ["d", "L", "a_wk"]).collect()}
+    finally:
+        model.marginal_at = kept
+    assert all(r["converged"] for r in fit.values()) and len(rounds) < 25
+    assert abs(fit["L"]["m"] - 0.5) < 4 * fit["L"]["m_se"]
+    assert abs(math.log(fit["L"]["p"] / 9)) < 4 * fit["L"]["log_p_se"]
+    assert abs(fit["a_wk"]["m_cov"] - 0.3) < 4 * fit["a_wk"]["m_cov_se"]
+
+
+def test_marginal_equals_brute_force_without_data(spark):
+    rows = [(1, 1, "L", 0.0, 0.0, 0.0, 0.0)]
+    got = model.marginal_at(table(spark, rows), {"L": [(0.1, 1.0)]})["L"]
+    assert np.allclose(got, [laplace(rows, 0.1, 1.0)])
 
 
 def test_fit_is_the_maximum_and_covers_the_truth(spark):
