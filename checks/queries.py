@@ -106,14 +106,9 @@ def everything(spark, sf):
     return rows, both, table, hyper, M.effect_modes(table, hyper)
 
 
-def given_days(spark, sf, n=S.N_DONORS):
+def given_days(spark, sf):
     found = seasons(spark, sf)
-    donors = G.donors(G.season_attributes(found.hours), n)
-    return found, G.donor_days(donors, found.days)
-
-
-def usable(given):
-    return G.usable_pairs(G.donor_usable(given))
+    return found, *E.given_days(found, SETTINGS)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -467,13 +462,13 @@ def u3_uncommon_days(spark, sf):
 
 
 def u4_active_days(spark, sf):
-    found, given = given_days(spark, sf)
-    return G.active_days(found.days, G.fill_days(given, usable(given)))
+    found, given, usable = given_days(spark, sf)
+    return G.active_days(found.days, G.fill_days(given, usable))
 
 
 def u4_active_day_counts(spark, sf):
-    found, given = given_days(spark, sf)
-    return G.active_day_counts(G.active_days(found.days, G.fill_days(given, usable(given))))
+    found, given, usable = given_days(spark, sf)
+    return G.active_day_counts(G.active_days(found.days, G.fill_days(given, usable)))
 
 
 # --- reshape ----------------------------------------------------------------------
@@ -684,32 +679,30 @@ def g3_donor_usable(spark, sf):
 
 
 def g4_fill_days(spark, sf):
-    _, given = given_days(spark, sf)
-    return G.fill_days(given, usable(given))
+    _, given, usable = given_days(spark, sf)
+    return G.fill_days(given, usable)
 
 
 def g4_fill_day_counts_all_donors(spark, sf):
-    _, given = given_days(spark, sf)
+    _, given, _ = given_days(spark, sf)
     strict = G.usable_pairs(G.donor_usable(given), require_all_donors=True)
     return G.fill_day_counts(G.fill_days(given, strict))
 
 
 def g5_donors_per_fill_day(spark, sf):
-    _, given = given_days(spark, sf)
-    out = G.donors_per_fill_day(given, usable(given))
+    _, given, usable = given_days(spark, sf)
+    out = G.donors_per_fill_day(given, usable)
     return out.withColumn("donor_ranks", F.concat_ws(",", "donor_ranks"))
 
 
 def g6_fill_effort(spark, sf):
     found, daily, _, _, _ = expected_daily(spark, sf)
-    donors = G.donors(G.season_attributes(found.hours))
-    given = G.donor_days(donors, found.days)
-    return rounded(G.fill_effort(materialize(daily), given, usable(given)))
+    return rounded(G.fill_effort(materialize(daily), *E.given_days(found, SETTINGS)))
 
 
 def g7_seasons_to_fill(spark, sf):
-    _, given = given_days(spark, sf)
-    out = G.seasons_to_fill(usable(given))
+    _, _, usable = given_days(spark, sf)
+    out = G.seasons_to_fill(usable)
     return out.withColumn("donor_ranks", F.concat_ws(",", "donor_ranks"))
 
 

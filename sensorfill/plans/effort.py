@@ -117,16 +117,25 @@ def choose_model(
     return model.model_dic(model.variant_deviance(draws, effects), constant)
 
 
-def fill_gaps(
-    effort_daily: DataFrame, seasons: Seasons, settings: Settings, by: Sequence[str] = ()
-) -> DataFrame:
-    """Yearly effort of each season, its missing days filled from its donors."""
+def given_days(
+    seasons: Seasons, settings: Settings = Settings()
+) -> tuple[DataFrame, DataFrame]:
+    """The days of each season's donors, and the pairs to fill from."""
     attributes = gapfill.season_attributes(seasons.hours)
-    given = gapfill.donor_days(gapfill.donors(attributes, settings.n_compl), seasons.days)
+    donors = gapfill.donors(attributes, settings.n_compl)
+    # A few hundred rows per season at most, used three times.
+    given = materialize(gapfill.donor_days(donors, seasons.days))
     pairs = gapfill.usable_pairs(
         gapfill.donor_usable(given), settings.require_all_donors, settings.n_compl
     )
-    filled = gapfill.fill_effort(effort_daily, given, pairs, by)
+    return given, pairs
+
+
+def fill_gaps(
+    effort_daily: DataFrame, seasons: Seasons, settings: Settings, by: Sequence[str] = ()
+) -> DataFrame:
+    """Yearly effort of each season, its missing days filled from its donors."""
+    filled = gapfill.fill_effort(effort_daily, *given_days(seasons, settings), by)
     return gapfill.effort_annual(effort_daily, filled, by)
 
 
@@ -138,7 +147,7 @@ def impute_effort(
     ``fit`` and ``params`` are the calibration, ``daily`` and ``annual`` the
     expected effort, ``draws`` the daily effort at each draw, ``dic`` the model
     comparison (with ``run_all``) and ``error`` the hold-out error (with
-    ``eval_fit``). All but the fit are lazy.
+    ``eval_fit``). The fit and the daily means are computed here, the rest when used.
     """
     rows = keyed_inputs(raw_observations, raw_sites, settings)
     pairs = pairing.matched_pairs(rows.ground, rows.camera_copies)
@@ -160,7 +169,7 @@ def impute_effort(
 
     groups = impute.effort_groups(seasons.hours)
     expected = impute.expected_effort(groups, params, settings.p_seen_mode)
-    daily = impute.sum_effort_daily(expected)
+    daily = materialize(impute.sum_effort_daily(expected))
     draws = impute.effort_draws(
         groups, params, settings.n_draws, settings.seed, settings.p_seen_mode
     )
