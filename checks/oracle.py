@@ -668,6 +668,18 @@ def _oracles() -> dict[str, str]:
     )
     o["a7_sensor_p_seen"] = sql("SELECT DISTINCT site_id, location, p_seen FROM cam")
     o["a8_sensor_stats"] = sql(sensor_stats("stats", "matched"), "SELECT * FROM stats")
+    here = '"year" = 2010 AND site_id = 6'
+    season_sums = {
+        c: f"sum(CASE WHEN {cond}{'' if c[:4] in ('fals', 'zero') else ' AND ' + here} "
+        f"THEN {value} ELSE 0 END)::BIGINT AS {c}"
+        for c, (cond, value) in SUMS.items()
+    }
+    o["a8_sensor_stats_one_season"] = sql(
+        f"SELECT site_id, location, {', '.join(f'coalesce({c}, 0) AS {c}' for c in SUMS)} FROM "
+        "(SELECT DISTINCT site_id, location FROM cam) LEFT JOIN "
+        f"(SELECT site_id, cam_location AS location, {', '.join(season_sums.values())} "
+        "FROM matched GROUP BY ALL) USING (site_id, location)"
+    )
     profile = [
         ("zero_pairs", "tzc", "cam_location"), ("false_zero", "false_zero", "cam_location"),
         ("positive", "positive", "cam_location"),
@@ -707,6 +719,10 @@ def _oracles() -> dict[str, str]:
         f"SELECT site_id, location, {number} FROM (SELECT site_id, cam_location AS location FROM "
         "matched WHERE cam_count >= 0 UNION SELECT site_id, location FROM imp)"
     )
+    o["w4_sensor_dictionary_calibration"] = sql(
+        f"SELECT site_id, location, {number} FROM (SELECT DISTINCT site_id, "
+        "cam_location AS location FROM matched WHERE cam_count >= 0)"
+    )
     o["w4_sensor_dictionary_positive"] = sql(
         f"SELECT site_id, location, {number} FROM "
         "(SELECT DISTINCT site_id, cam_location AS location FROM positive)"

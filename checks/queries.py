@@ -365,6 +365,12 @@ def a8_sensor_stats(spark, sf):
     return M.sensor_stats(both, C.sensors_of(rows.camera_copies))
 
 
+def a8_sensor_stats_one_season(spark, sf):
+    rows = inputs(spark, sf)
+    both = R.matched_pairs(rows.ground, rows.camera_copies)
+    return M.sensor_stats(both, C.sensors_of(rows.camera_copies), SEASON)
+
+
 def a9_sum_effort_daily(spark, sf):
     return rounded(expected_daily(spark, sf)[1])
 
@@ -418,6 +424,11 @@ def w4_sensor_dictionary(spark, sf):
     return C.sensor_dictionary(C.sensors_of(paired, "cam_location"), C.sensors_of(rows))
 
 
+def w4_sensor_dictionary_calibration(spark, sf):
+    paired = pairs(spark, sf).filter("cam_count is not null")
+    return C.sensor_dictionary(C.sensors_of(paired, "cam_location"))
+
+
 def w4_sensor_dictionary_positive(spark, sf):
     return C.sensor_dictionary(C.sensors_of(R.positive_pairs(pairs(spark, sf)), "cam_location"))
 

@@ -58,24 +58,33 @@ _SUMS = [
 # --- sufficient statistics ------------------------------------------------------
 
 
-def sensor_stats(pairs: DataFrame, sensors: DataFrame | None = None) -> DataFrame:
+def sensor_stats(
+    pairs: DataFrame,
+    sensors: DataFrame | None = None,
+    season: tuple[int, int] | None = None,
+) -> DataFrame:
     """Twelve sums per sensor, for covariate level 0 and 1.
 
-    ``sensors`` adds sensors without any pair, with sums of zero. One aggregation
-    over the pairs; a sensor with a third of them is combined before the shuffle.
+    ``sensors`` adds sensors without any pair, with sums of zero. ``season`` names
+    one (year, site_id) to take the false zeros' and the positives' counts from;
+    the number of false zeros among zeros is always that of all pairs. One
+    aggregation; a sensor with a third of the pairs is combined before the shuffle.
     """
     zero = (F.col("cam_count") == 0) & F.col("ground_count").isNotNull()
     false_zero = (F.col("cam_count") == 0) & (F.col("ground_count") > 0)
     positive = (F.col("cam_count") > 0) & F.col("ground_count").isNotNull()
+    here = F.lit(True)
+    if season is not None:
+        here = (F.col("year") == season[0]) & (F.col("site_id") == season[1])
     ground, cam, one = F.col("ground_count"), F.col("cam_count"), F.lit(1)
     afternoon, weekend = F.col("time_of_day") - 1, F.col("weekend")
     parts = {
         "false_zeros": (false_zero, afternoon, one),
         "zero_pairs": (zero, afternoon, one),
-        "fz_ground": (false_zero, weekend, ground),
-        "fz_rows": (false_zero, weekend, one),
-        "pos_ground": (positive, weekend, ground),
-        "pos_cam": (positive, weekend, cam),
+        "fz_ground": (false_zero & here, weekend, ground),
+        "fz_rows": (false_zero & here, weekend, one),
+        "pos_ground": (positive & here, weekend, ground),
+        "pos_cam": (positive & here, weekend, cam),
     }
     values = [
         F.when(rows & (level == x), value).otherwise(0).cast("bigint").alias(f"{name}_{x}")

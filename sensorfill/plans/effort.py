@@ -24,10 +24,12 @@ class Settings:
     """Options of a run, with the defaults users know.
 
     ``model`` is the covariate model; ``run_all`` chooses the one with the least
-    DIC instead. ``detail`` names one (year, site_id) to report by day.
-    ``eval_fit`` holds out a share of the pairs and measures the error there.
+    DIC instead. ``detail`` names one (year, site_id) to report by day; counts at
+    false zeros and at positives are then calibrated on it alone. ``eval_fit``
+    holds out a share of the pairs and measures the error there.
     ``require_all_donors`` fills only seasons with all donors usable;
-    ``restrict_calibration`` leaves seasons with low coverage out of the fit too.
+    ``restrict_calibration`` leaves the seasons that are not reported out of the
+    fit altogether.
     """
 
     excluded: Sequence[str] = S.EXCLUDED_SITES
@@ -102,10 +104,13 @@ def calibration_effects(
     settings: Settings = Settings(),
 ) -> DataFrame:
     """Sufficient statistics of the pairs, for every sensor and model variant."""
-    if settings.restrict_calibration and seasons is not None:
-        pairs = coverage.drop_low_coverage(pairs, seasons.coverage, settings.cutoff)
-    stats = materialize(model.sensor_stats(pairs, coverage.sensors_of(cameras)))
-    return model.effect_table(stats)
+    if settings.restrict_calibration:
+        if settings.detail is not None:
+            pairs = coverage.restrict_to(pairs, *settings.detail)
+        elif seasons is not None:
+            pairs = coverage.drop_low_coverage(pairs, seasons.coverage, settings.cutoff)
+    stats = model.sensor_stats(pairs, coverage.sensors_of(cameras), settings.detail)
+    return model.effect_table(materialize(stats))
 
 
 def choose_model(

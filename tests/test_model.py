@@ -176,6 +176,11 @@ def test_sensor_stats(spark):
     )
     assert {k: got[1][k] for k in want} == want
     assert all(got[2][k] == 0 for k in want)
+    dated = pairs.withColumn("year", F.lit(2010))
+    for season, kept in (((2010, 1), True), ((2009, 1), False)):
+        one = {r["site_id"]: r for r in model.sensor_stats(dated, sensors, season).collect()}[1]
+        assert (one["false_zeros_1"], one["zero_pairs_0"]) == (1, 1)
+        assert one["pos_ground_0"] == (5 if kept else 0) and one["fz_rows_1"] == int(kept)
 
 
 def test_log_likelihood_of_rows_sums_to_that_of_the_statistics(spark):
