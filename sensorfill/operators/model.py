@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,7 +30,8 @@ from sensorfill.functions.numeric import invlogit, ln_factorial, log1p_exp, norm
 from sensorfill.operators.scale import default_tasks, lookup_join, materialize
 
 # The effects, each without and with its covariate; the variants
-# each of the eight models is made of; and the priors of every mean and precision.
+# each of the eight models is made of; and the priors and bounds of every mean and
+# precision.
 VARIANTS = ("d", "d_tod", "L", "L_wk", "a", "a_wk")
 MODELS = {
     1: ("d", "L", "a"),
@@ -45,6 +46,8 @@ MODELS = {
 PRIOR_MEAN_SD = 2.0
 PRIOR_PRECISION_SHAPE = 0.001
 PRIOR_PRECISION_SCALE = 1000.0
+MEAN_BOUNDS = (-5.0, 5.0)
+PRECISION_BOUNDS = (1e-4, 1e5)
 
 EFFECTS = ("d", "L", "a")
 HYPER = ("m", "p", "m_cov", "p_cov")
@@ -360,6 +363,13 @@ def marginal_at(
     }
 
 
+def _within(x: np.ndarray) -> np.ndarray:
+    """The nearest point whose means and log precisions are within their bounds."""
+    pair = list(zip(MEAN_BOUNDS, (math.log(b) for b in PRECISION_BOUNDS)))
+    low, high = (np.tile(side, len(x) // 2) for side in pair)
+    return np.clip(x, low, high)
+
+
 def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
     """``x``, then the points around it that second differences need."""
     unit = np.eye(len(x)) * h
@@ -383,6 +393,74 @@ def _differences(f: Sequence[float], n: int, h: float) -> tuple[np.ndarray, np.n
     return gradient, hessian
 
 
+Point = Sequence[float]
+
+
+def climb(
+    start: Mapping[str, Point],
+    evaluate: Callable[[Mapping[str, Sequence[Point]]], Mapping[str, Sequence[float]]],
+    tolerance: float,
+    max_rounds: int,
+    h: float,
+) -> dict[str, tuple[np.ndarray, float | None, np.ndarray | None, bool]]:
+    """Newton's method on several functions at once, all values of a round in one call.
+
+    Derivatives are differences of values. Each round tries the full step, with the
+    points its differences need, and shorter ones. Returns for every function the
+    point, the value there, the Hessian and whether the search has converged.
+    """
+    scales = (1.0, 0.3, 0.05)
+    now = {v: _within(np.array(x, dtype=float)) for v, x in start.items()}
+    moves = {v: np.zeros(len(x)) for v, x in now.items()}
+    value = dict.fromkeys(now, -math.inf)
+    hessians: dict[str, np.ndarray | None] = dict.fromkeys(now)
+    done = set()
+    for _ in range(max_rounds):
+        open_ = [v for v in now if v not in done]
+        if not open_:
+            break
+        found = evaluate(
+            {
+                v: _stencil(now[v] + moves[v], h) + [now[v] + s * moves[v] for s in scales[1:]]
+                for v in open_
+            }
+        )
+        for v in open_:
+            n, f = len(now[v]), np.nan_to_num(found[v], nan=-math.inf)
+            tries = [f[0], *f[len(f) - len(scales) + 1 :]]
+            best = int(np.argmax(tries))
+            if tries[best] < value[v]:  # nothing better this way: look closer
+                moves[v] = moves[v] * scales[-1]
+            elif best > 0:  # differences are known at the full step only
+                now[v], value[v] = now[v] + scales[best] * moves[v], -math.inf
+                moves[v] = np.zeros(n)
+                continue
+            else:
+                now[v], value[v] = now[v] + moves[v], tries[0]
+                gradient, hessians[v] = _differences(f, n, h)
+                moves[v] = _uphill(now[v], gradient, hessians[v])
+            if np.abs(moves[v]).max() < tolerance:
+                done.add(v)
+    return {
+        v: (now[v], value[v] if math.isfinite(value[v]) else None, hessians[v], v in done)
+        for v in now
+    }
+
+
+def _uphill(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
+    """A Newton step that goes uphill along every axis, within the bounds.
+
+    Coordinates that sit at a bound and want to leave it are held there.
+    """
+    free = _within(x + np.sign(gradient) * 1e-9) != x
+    move = np.zeros(len(x))
+    if free.any():
+        curve, axes = np.linalg.eigh(-hessian[np.ix_(free, free)])
+        step = axes @ ((axes.T @ gradient[free]) / np.maximum(np.abs(curve), 1e-3))
+        move[free] = step * min(1.0, 1.5 / max(np.abs(step).max(), 1e-300))
+    return _within(x + move) - x
+
+
 def fit_hierarchical(
     effects: DataFrame,
     variants: Sequence[str] = VARIANTS,
@@ -396,7 +474,8 @@ def fit_hierarchical(
     independent given the hyperparameters; Newton's method on (m, ln p) does the
     rest. The likelihood separates over effects, so all variants, and with them
     all eight models, are fitted in the same jobs. Only one number per trial point
-    reaches the driver.
+    reaches the driver. Too few sensors with data leave a precision undecided; it
+    then ends at a bound.
 
     Returns a row per variant: the estimates, standard errors of the means and of
     the log precisions, the log marginal and whether the search converged.
@@ -409,60 +488,20 @@ def fit_hierarchical(
         r["variant"]: r["total"]
         for r in effects.groupBy("variant").agg(F.sum(_best_loglik()).alias("total")).collect()
     }
-    now, value, done = {}, {}, {}
+    start = {}
     for row in start_hyper(effects).collect():  # one row per variant
-        v = row["variant"]
-        point = [row["m"], math.log(row["p"])]
-        if "_" in v:
-            point += [row["m_cov"], math.log(row["p_cov"])]
-        now[v], value[v] = np.array(point), -math.inf
-
-    shape = {v: (None, None) for v in now}
-    scales = (1.0, 0.3, 0.05)
-    moves = {v: np.zeros(len(x)) for v, x in now.items()}
-    for _ in range(max_rounds):
-        open_ = [v for v in now if v not in done]
-        if not open_:
-            break
-        trial = {
-            v: _stencil(now[v] + moves[v], h) + [now[v] + s * moves[v] for s in scales[1:]]
-            for v in open_
-        }
-        found = marginal_at(effects, trial)
-        for v in open_:
-            n, f = len(now[v]), found[v]
-            tries = [f[0], *f[len(f) - len(scales) + 1 :]]
-            best = int(np.argmax(tries))
-            if tries[best] < value[v]:  # no better point along this direction
-                moves[v] = moves[v] * scales[-1]
-                done.update({v: True} if np.abs(moves[v]).max() < tolerance else {})
-                continue
-            gain = tries[best] - value[v]
-            now[v], value[v] = now[v] + scales[best] * moves[v], tries[best]
-            if best > 0:  # differences are known at the full step only
-                moves[v] = np.zeros(n)
-                value[v] = -math.inf
-                continue
-            gradient, hessian = _differences(f, n, h)
-            shape[v] = (gradient, hessian)
-            # Uphill along every axis of curvature, at most 1.5 at a time.
-            curve, axes = np.linalg.eigh(-hessian)
-            curve = np.maximum(np.abs(curve), 1e-3)
-            move = axes @ ((axes.T @ gradient) / curve)
-            moves[v] = move * min(1.0, 1.5 / max(np.abs(move).max(), 1e-300))
-            if np.abs(moves[v]).max() < tolerance or (0 <= gain < 1e-11):
-                done[v] = True
+        start[row["variant"]] = [row["m"], math.log(row["p"])]
+        if "_" in row["variant"]:
+            start[row["variant"]] += [row["m_cov"], math.log(row["p_cov"])]
+    found = climb(start, lambda points: marginal_at(effects, points), tolerance, max_rounds, h)
     rows = []
-    for v in sorted(now):
-        hessian = shape[v][1]
-        errors = [None] * 4
+    for v, (x, value, hessian, converged) in sorted(found.items()):
+        errors: list[float | None] = [None] * 4
         if hessian is not None:
-            variance = np.diag(np.linalg.pinv(-hessian))
-            for i, x in enumerate(variance):
-                errors[i] = float(math.sqrt(x)) if x > 0 else None
-        _, m, p, mc, pc = _as_row(v, now[v])
-        total = float(value[v]) + constants[v] if math.isfinite(value[v]) else None
-        rows.append((v, m, p, mc, pc, *errors, total, bool(done.get(v, False))))
+            for i, variance in enumerate(np.diag(np.linalg.pinv(-hessian))):
+                errors[i] = float(math.sqrt(variance)) if variance > 0 else None
+        total = None if value is None else float(value) + constants[v]
+        rows.append((*_as_row(v, x), *errors, total, converged))
     return effects.sparkSession.createDataFrame(
         rows,
         "variant string, m double, p double, m_cov double, p_cov double, m_se double, "

@@ -270,3 +270,18 @@ def test_fit_returns_one_row_per_variant(spark, variants):
     assert sorted(r["variant"] for r in fit.collect()) == sorted(variants)
     drawn = model.draw_hyper(fit, 50, seed=1)
     assert drawn.filter("value is null").count() == 0
+
+
+@pytest.mark.parametrize("start", [(0.6, 0.0), (-4.0, 8.0), (5.0, -9.0)])
+def test_one_informative_sensor_ends_at_a_bound(start):
+    rows = [(1, 1, "L", 8.0, 4.0, 0.0, 0.0), (2, 1, "L", 0.0, 0.0, 0.0, 0.0)]
+    calls = []
+
+    def evaluate(points):
+        calls.append(1)
+        return {v: [laplace(rows, *x) for x in xs] for v, xs in points.items()}
+
+    x, value, _, converged = model.climb({"L": start}, evaluate, 1e-5, 60, 1e-3)["L"]
+    assert converged and len(calls) < 30
+    assert abs(x[1] - math.log(model.PRECISION_BOUNDS[0])) < 1e-9
+    assert abs(value - laplace(rows, *x)) < 1e-9
