@@ -649,7 +649,7 @@ def i6_effort_annual_draws(spark, sf):
 
 def i6_effort_annual_fitted(spark, sf):
     """The whole job, with fitted hyperparameters."""
-    found = E.impute_effort(raw_obs(spark, sf), raw_sites(spark, sf), SETTINGS)
+    found = E.estimate_effort(raw_obs(spark, sf), raw_sites(spark, sf), SETTINGS)
     return rounded(found["annual"], 0)
 
 

@@ -144,7 +144,7 @@ def fill_gaps(
     return gapfill.effort_annual(effort_daily, filled, by)
 
 
-def impute_effort(
+def estimate_effort(
     raw_observations: DataFrame, raw_sites: DataFrame, settings: Settings = Settings()
 ) -> dict[str, DataFrame]:
     """The whole job. Returns the tables a user asks for, by name.

@@ -31,7 +31,7 @@ def test_every_query_has_sql_but_those_without_one():
 def run(spark, **options):
     settings = effort.Settings(excluded=EXCLUDED, n_draws=20, **options)
     raw = star_schema.raw_observations(spark, SF), star_schema.raw_sites(spark, SF)
-    return effort.impute_effort(*raw, settings)
+    return effort.estimate_effort(*raw, settings)
 
 
 def test_whole_job_with_model_choice_and_holdout(spark):
