@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from sensorfill.llm.decontaminate import op6_decontaminate
+from sensorfill.llm.mixing import OP8_SQL, op8_mixing
 from sensorfill.llm.simhash import op7_simhash
 from sensorfill.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
+}
