@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorfill.operators.scale import use_checkpoint_dir
+from sensorfill.operators.scale import BROADCAST_BYTES, use_checkpoint_dir
 
 #: Bytes of text that one vectorised step works on; longer batches are cut.
 CHUNK_BYTES = 4 << 20
@@ -190,3 +190,12 @@ def start_offsets(
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in cut]
     joined = inner.join(totals, on=same)
     return joined.select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
+
+
+def joined(df: DataFrame, lookup: DataFrame, on: str | list[str] | Column, how: str, row_bytes: Column) -> DataFrame:
+    """Join to a stored table, broadcast if the sum of ``row_bytes`` shows that it is small.
+
+    Beyond ``BROADCAST_BYTES`` it is an ordinary shuffle join.
+    """
+    size = lookup.agg(F.sum(row_bytes)).head()[0] or 0
+    return df.join(F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup, on, how)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from sensorfill.llm.decontaminate import op6_decontaminate
 from sensorfill.llm.lines import OP5_SQL, op5_line_dedup
 from sensorfill.llm.mixing import OP8_SQL, op8_mixing
+from sensorfill.llm.passages import op10_substring_dedup
 from sensorfill.llm.shards import op3_shards
 from sensorfill.llm.simhash import op7_simhash
 from sensorfill.llm.toxicity import op2_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
