@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from sensorfill.llm.decontaminate import op6_decontaminate
+from sensorfill.llm.licenses import op9_licenses
 from sensorfill.llm.lines import OP5_SQL, op5_line_dedup
 from sensorfill.llm.mixing import OP8_SQL, op8_mixing
 from sensorfill.llm.passages import op10_substring_dedup
 from sensorfill.llm.shards import op3_shards
 from sensorfill.llm.simhash import op7_simhash
+from sensorfill.llm.token_counts import op4_token_counts
 from sensorfill.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_shards": op3_shards,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_licenses": op9_licenses,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
