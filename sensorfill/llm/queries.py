@@ -10,9 +10,11 @@ from sensorfill.llm.passages import op10_substring_dedup
 from sensorfill.llm.shards import op3_shards
 from sensorfill.llm.simhash import op7_simhash
 from sensorfill.llm.token_counts import op4_token_counts
+from sensorfill.llm.topk import OP1_SQL, op1_topk
 from sensorfill.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_toxicity": op2_toxicity,
     "op3_shards": op3_shards,
     "op4_token_counts": op4_token_counts,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_topk": OP1_SQL,
     "op5_line_dedup": OP5_SQL,
     "op8_mixing": OP8_SQL,
 }
