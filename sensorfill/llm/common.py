@@ -132,8 +132,8 @@ class Words:
         self.hash = hasher.stretches(hasher.byte[as_read[data]], self.start, self.end)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text"):
-    """Yield (first row, last row + 1, bytes, offsets), about ``CHUNK_BYTES`` at a time.
+def text_chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES):
+    """Yield (first row, last row + 1, bytes, offsets), about ``size`` bytes at a time.
 
     A null text is an empty one. No text is cut.
     """
@@ -146,7 +146,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text"):
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        stop = int(np.searchsorted(at, at[row] + CHUNK_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(at, at[row] + size, side="right")) - 1
         stop = min(max(stop, row + 1), n)
         yield row, stop, raw[at[row] : at[stop]], at[row : stop + 1] - at[row]
         row = stop

@@ -4,8 +4,10 @@ A difference cover modulo v is a set of residues whose differences give every re
 Hashes are made of short windows, anchors, only where a word's place modulo v is in the
 cover. Two equal passages, wherever they start, then have an anchor at the same distance
 from their starts, less than v: every passage of ``WINDOW`` words that two documents share
-has an anchor of ``WINDOW`` - v + 1 words in both. So only the full windows around anchors
-found in several documents are hashed and looked up by their smallest document.
+has an anchor of ``WINDOW`` - v + 1 words in both. Anchors found in several documents are
+extended: first to the stretch that all windows over the anchor cover, which settles these
+windows together if a smaller document has it too, then, where that fails at the edges of
+a passage, to the single windows. Both are looked up by their smallest document.
 
 Equal hashes inside a stretch of documents are brought together before anything is
 shuffled, so a passage in very many documents sends a row or two from each stretch.
@@ -28,7 +30,11 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Words of an anchor.
 ANCHOR = WINDOW - PERIOD + 1
+#: A stretch is what the windows over an anchor cover: so many words before and after.
+BEFORE, AFTER = PERIOD - 1, WINDOW
 SEED, SECOND_SEED = 10, 11
+#: Bytes of text that one vectorised step works on.
+STEP_BYTES = 1 << 20
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +56,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, in_cover = Hasher(SEED), np.isin(np.arange(PERIOD), COVER)
     for batch in batches:
         ids, known = _ids(batch)
-        for low, high, data, bounds in text_chunks(batch):
+        for low, high, data, bounds in text_chunks(batch, size=STEP_BYTES):
             words = Words(data, bounds, SPACED, hasher)
             text, pos = _places(words)
             size = np.diff(words.first_word)
@@ -90,69 +96,96 @@ def _runs(group: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray,
     return group[first], start[first], start[last] + size
 
 
-def _pack_runs(keys: list[str], back: int, size: int):
-    """mapInArrow function: ``at`` (places) and ``runs`` (from, to pairs) of each row to
-    merged runs, each place standing for place - back .. place - back + size."""
+def _packed(batch: pa.RecordBatch, values: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """The batch's columns ``names`` and the values as 32-bit numbers in ``packed``."""
+    binary = pa.array([x.astype("<i4").tobytes() for x in values], pa.binary())
+    return pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], binary], names=[*names, "packed"])
+
+
+def _pack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _packed(batch, [np.array(x) for x in batch.column("at").to_pylist()], ["doc"])
+
+
+def _pack_runs(back: int):
+    """mapInArrow function: places ``at`` to runs (from, to) of windows, a place standing
+    for the windows from ``back`` places before it on up to its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("at").to_pylist()
             rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
             flat = np.array([p for x in at for p in x], dtype=np.int64)
-            row, low, high = _runs(rows, flat - back, size)
+            row, low, high = _runs(rows, flat - back, back + 1)
             edge = np.searchsorted(row, np.arange(len(at) + 1))
-            pairs = np.stack([low, high], axis=1).astype("<i4")
-            packed = [pairs[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keys], pa.array(packed, pa.binary())], names=[*keys, "runs"]
-            )
+            pairs = np.stack([low, high], axis=1)
+            yield _packed(batch, [pairs[a:b].ravel() for a, b in zip(edge, edge[1:])], ["doc", "key"])
 
     return run
 
 
-def _marked(packed: list[bytes | None], size: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether each place of the texts lies in its text's runs."""
+def _numbers(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", dtype="<i4").astype(np.int64)
+
+
+def _marked(runs: Iterator[np.ndarray], size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each place of some texts lies in its text's runs (from, to)."""
     step = np.zeros(int(size.sum()) + 1, dtype=np.int64)
-    for runs, n, base in zip(packed, size, first):
-        if runs and n > 0:
-            pairs = np.clip(np.frombuffer(runs, dtype="<i4").reshape(-1, 2), 0, n).astype(np.int64) + base
-            np.add.at(step, pairs[:, 0], 1)
-            np.add.at(step, pairs[:, 1], -1)
+    for pairs, n, base in zip(runs, size, first):
+        if len(pairs) and n:
+            np.add.at(step, np.clip(pairs[:, 0], 0, n) + base, 1)
+            np.add.at(step, np.clip(pairs[:, 1], 0, n) + base, -1)
     return np.cumsum(step[:-1]) > 0
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h1, h2, doc, key, pos) of the full windows around repeated anchors; pos is
-    negative if a smaller document of the same stretch has the window."""
-    hasher, second = Hasher(SEED), Hasher(SECOND_SEED)
-    for batch in batches:
-        ids, _ = _ids(batch)
-        runs, key = batch.column("runs").to_pylist(), batch.column("key").to_numpy(zero_copy_only=False)
-        for low, high, data, bounds in text_chunks(batch):
-            words = Words(data, bounds, SPACED, hasher)
-            text, pos = _places(words)
-            size = np.diff(words.first_word)
-            near = _marked(runs[low:high], size, words.first_word[:-1])
-            at = np.flatnonzero(near & (pos + WINDOW <= size[text]))
-            h1 = hasher.stretches(words.hash, at, at + WINDOW)
-            h2 = second.stretches(Words(data, bounds, SPACED, second).hash, at, at + WINDOW)
-            doc, mine, pos = ids[low:high][text[at]], key[low:high][text[at]], pos[at]
-            order = np.lexsort((doc, h2, h1))
-            h1, h2, doc, mine, pos = (x[order] for x in (h1, h2, doc, mine, pos))
-            first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) if len(at) else np.zeros(0, bool)
-            least = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(at) else doc
-            found = doc > least
-            unlike = mix(h1 + np.arange(len(h1), dtype=np.uint64) + mix(doc.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(found, unlike, h1).view(np.int64)),
-                    pa.array(h2.view(np.int64)),
-                    pa.array(doc),
-                    pa.array(mine),
-                    pa.array(np.where(found, ~pos, pos)),
-                ],
-                names=["h1", "h2", "doc", "key", "pos"],
-            )
+def _extend(single: bool):
+    """mapInArrow function: rows (h1, h2, doc, key, pos) of the stretches around the
+    anchors ``anchors`` of each text, or (``single``) of the windows over them that
+    ``settled`` does not have. pos is negative if a smaller document of the same step has
+    the same words; h1 is then a number that nothing else has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, second = Hasher(SEED), Hasher(SECOND_SEED)
+        for batch in batches:
+            ids, _ = _ids(batch)
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            anchors = [_numbers(x) for x in batch.column("anchors").to_pylist()]
+            settled = [_numbers(x).reshape(-1, 2) for x in batch.column("settled").to_pylist()] if single else []
+            for low, high, data, bounds in text_chunks(batch, size=STEP_BYTES):
+                words = Words(data, bounds, SPACED, hasher)
+                text, pos = _places(words)
+                size, first = np.diff(words.first_word), words.first_word[:-1]
+                if single:
+                    over = (np.stack([x - BEFORE, x + 1], axis=1) for x in anchors[low:high])
+                    todo = _marked(over, size, first) & ~_marked(settled[low:high], size, first)
+                    at = np.flatnonzero(todo & (pos + WINDOW <= size[text]))
+                    start, end = at, at + WINDOW
+                else:
+                    inside = [x[(x >= BEFORE) & (x + AFTER <= n)] + b for x, n, b in zip(anchors[low:high], size, first)]
+                    at = np.concatenate(inside)
+                    start, end = at - BEFORE, at + AFTER
+                h1 = hasher.stretches(words.hash, start, end)
+                h2 = second.stretches(Words(data, bounds, SPACED, second).hash, start, end)
+                doc, mine, place = ids[low:high][text[at]], key[low:high][text[at]], pos[at]
+                order = np.lexsort((doc, h2, h1))
+                h1, h2, doc, mine, place = (x[order] for x in (h1, h2, doc, mine, place))
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+                found = doc > least
+                unlike = mix(h1 + np.arange(len(h1), dtype=np.uint64) + mix(doc.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.where(found, unlike, h1).view(np.int64)),
+                        pa.array(h2.view(np.int64)),
+                        pa.array(doc),
+                        pa.array(mine),
+                        pa.array(np.where(found, ~place, place)),
+                    ],
+                    names=["h1", "h2", "doc", "key", "pos"],
+                )
+
+    return run
 
 
 def _with_key(docs: DataFrame, name: str = "key") -> DataFrame:
@@ -160,30 +193,39 @@ def _with_key(docs: DataFrame, name: str = "key") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+def _place():
+    return F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
+
+
+def _in_smaller(extended: DataFrame, back: int, name: str) -> DataFrame:
+    """doc, key, packed: runs of the windows that a smaller document has too."""
+    same = Window.partitionBy("h1", "h2")
+    later = (F.col("doc") > F.min("doc").over(same)) | (F.col("pos") < 0)
+    gone = extended.select("doc", "key", _place().alias("at"), later.alias("later")).where("later")
+    gone = gone.groupBy("doc", "key").agg(F.collect_list("at").alias("at"))
+    return stored(gone.mapInArrow(_pack_runs(back), "doc long, key long, packed binary"), name)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), runs: the words to remove, as packed (from, to)
-    pairs of 32-bit numbers, of every row (doc_id, text) that has any."""
-    rows = docs.select(F.col("doc_id"), F.col("text")).where("doc_id is not null")
-    anchors = rows.mapInArrow(_anchors, "h long, doc long, pos long")
+    """doc, key (hash of the text), packed: for every row (doc_id, text) that has any, the
+    windows to remove, as lists of packed (from, to) pairs of 32-bit numbers."""
+    rows = docs.select("doc_id", "text").where("doc_id is not null")
     same = Window.partitionBy("h")
     shared = (F.min("doc").over(same) < F.max("doc").over(same)) | (F.col("pos") < 0)
-    place = F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos"))
-    found = anchors.select("doc", place.alias("at"), shared.alias("shared")).where("shared")
+    found = rows.mapInArrow(_anchors, "h long, doc long, pos long")
+    found = found.select("doc", _place().alias("at"), shared.alias("shared")).where("shared")
     found = found.groupBy("doc").agg(F.collect_list("at").alias("at"))
-    # A window that holds an anchor starts up to PERIOD - 1 words before it.
-    near = stored(found.mapInArrow(_pack_runs(["doc"], PERIOD - 1, PERIOD), "doc long, runs binary"), "near")
-    near = near.withColumnRenamed("doc", "doc_id")
-    size = F.octet_length("runs") + 32
-    candidates = joined(_with_key(rows), near, "doc_id", "inner", size)
-    windows = candidates.select("doc_id", "key", "text", "runs").mapInArrow(
-        _windows, "h1 long, h2 long, doc long, key long, pos long"
-    )
-    same = Window.partitionBy("h1", "h2")
-    later = (F.col("doc") > F.min("doc").over(same)) | (F.col("pos") < 0)
-    gone = windows.select("doc", "key", place.alias("at"), later.alias("later")).where("later")
-    gone = gone.groupBy("doc", "key").agg(F.collect_list("at").alias("at"))
-    packed = gone.mapInArrow(_pack_runs(["doc", "key"], 0, WINDOW), "doc long, key long, runs binary")
-    return stored(packed.withColumnRenamed("doc", "doc_id"), "passages")
+    anchors = stored(found.mapInArrow(_pack_places, "doc long, packed binary"), "anchors")
+    anchors = anchors.select(F.col("doc").alias("doc_id"), F.col("packed").alias("anchors"))
+    size = F.octet_length("anchors") + 32
+    texts = joined(_with_key(rows), anchors, "doc_id", "inner", size).select("doc_id", "key", "text", "anchors")
+    rows_of = "h1 long, h2 long, doc long, key long, pos long"
+    settled = _in_smaller(texts.mapInArrow(_extend(single=False), rows_of), BEFORE, "settled")
+    of_text = settled.select(F.col("doc").alias("doc_id"), "key", F.col("packed").alias("settled"))
+    left = joined(texts, of_text, ["doc_id", "key"], "left", F.octet_length("settled") + 40)
+    single = _in_smaller(left.select(*texts.columns, "settled").mapInArrow(_extend(single=True), rows_of), 0, "single")
+    both = settled.union(single).groupBy("doc", "key").agg(F.collect_list("packed").alias("packed"))
+    return stored(both, "passages")
 
 
 def without_repeated_passages(docs: DataFrame) -> DataFrame:
@@ -195,7 +237,8 @@ def without_repeated_passages(docs: DataFrame) -> DataFrame:
     neither lose words nor make others lose any; rows that share an id do not affect each
     other. Texts are read whole; ``docs`` must not have the three new columns.
     """
-    runs = repeated_passages(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("runs").alias("_runs"))
+    gone = repeated_passages(docs)
+    gone = gone.select(F.col("doc").alias("_id"), F.col("key").alias("_key"), F.col("packed").alias("_runs"))
     names = docs.columns
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
@@ -207,11 +250,12 @@ def without_repeated_passages(docs: DataFrame) -> DataFrame:
             for text, packed in zip(plain_bytes(batch), batch.column("_runs").to_pylist()):
                 words = text.split()
                 n_words.append(len(words))
-                at = 0
-                left = []
-                for low, high in np.frombuffer(packed or b"", dtype="<i4").reshape(-1, 2):
+                # Windows from .. to - 1 cover the words up to WINDOW - 1 after the last.
+                pairs = np.concatenate([_numbers(x) for x in packed or [b""]]).reshape(-1, 2)
+                at, left = 0, []
+                for low, high in pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]:
                     left += words[at:low]
-                    at = high
+                    at = max(at, high + WINDOW - 1)
                 left += words[at:]
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
@@ -221,7 +265,8 @@ def without_repeated_passages(docs: DataFrame) -> DataFrame:
 
     keyed = _with_key(docs, "_text")
     same = (keyed["doc_id"] == F.col("_id")) & (keyed["_text"] == F.col("_key"))
-    rows = joined(keyed, runs, same, "left", F.octet_length("_runs") + 40)
+    size = F.aggregate("_runs", F.lit(0), lambda a, x: a + F.octet_length(x)) + 60
+    rows = joined(keyed, gone, same, "left", size)
     return rows.drop("_text", "_id", "_key").mapInArrow(cut, schema)
 
 
