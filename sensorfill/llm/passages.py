@@ -62,11 +62,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(words.first_word)
             size = np.where(known[low:high] & (size >= WINDOW), size, 0)
             at = np.flatnonzero(in_cover[pos % PERIOD] & (pos + ANCHOR <= size[text]))
+            if not len(at):
+                continue
             h = hasher.stretches(words.hash, at, at + ANCHOR)
             doc, pos = ids[low:high][text[at]], pos[at]
             order = np.lexsort((doc, h))
             h, doc, pos = h[order], doc[order], pos[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else at
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             last = np.append(first[1:], len(h)) - 1
             group = np.repeat(np.arange(len(first)), last - first + 1)
             shared = (doc[first] != doc[last])[group]

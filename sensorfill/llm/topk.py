@@ -96,8 +96,9 @@ def _search(k: int):
         sizes = np.diff(flat.offsets.to_numpy()) if len(flat) else np.zeros(0, int)
         # Only vectors of one length have inner products.
         for dim in np.unique(sizes[asks]):
-            x = np.array(rows.column("v").filter(pa.array(sizes == dim)).to_pylist(), dtype=np.int64).reshape(-1, dim)
-            i, ask = ids[sizes == dim], asks[sizes == dim]
+            alike = sizes == dim
+            x = np.array(rows.column("v").filter(pa.array(alike)).to_pylist(), dtype=np.int64)
+            x, i, ask = x.reshape(alike.sum(), dim), ids[alike], asks[alike]
             lists = Lists(i[~ask], x[~ask])
             shared = lists.x.astype(float)
             limit = 2.0**53
