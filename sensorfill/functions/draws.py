@@ -37,9 +37,12 @@ def thinned_poisson():
 
     ``B`` is the binomial quantile of (trials, p) at ``u1``; the result is the
     Poisson quantile of ``mean * B`` at ``u2``. With p = 1 and one trial it is a
-    plain Poisson draw. Distribution functions are summed exactly up to 500
-    expected counts; above, the Cornish-Fisher expansion is used, whose error
-    there is a small fraction of one count.
+    plain Poisson draw. A missing input gives a missing count.
+
+    Quantiles are exact at any size: the least k whose distribution function
+    reaches u. From few expected counts the function is summed up from zero. From
+    many it is the incomplete gamma or beta integral, by quadrature, and k is
+    stepped to from a normal expansion.
     """
 
     # Nested, so that the function is shipped whole to the Python workers.
@@ -49,7 +52,10 @@ def thinned_poisson():
         import numpy as np
         import pandas as pd
 
-        limit = 500.0
+        # Where summing up becomes slower than the quadrature; both are exact.
+        many = 500.0
+        nodes, weights = np.polynomial.legendre.leggauss(96)
+        reach = 11.0  # standard deviations beyond which nothing is left
 
         def z_of(u):
             inverse = NormalDist().inv_cdf
@@ -67,17 +73,77 @@ def thinned_poisson():
                 cdf = cdf + pmf
             return out
 
+        def bend(x):
+            """x - log(1 + x), by its series where the two nearly cancel."""
+            series = np.zeros_like(x)
+            for n in range(14, 1, -1):
+                series = ((-1.0) ** n / n + series) * x
+            return np.where(np.abs(x) < 0.05, series * x, x - np.log1p(x))
+
+        def stirling(k):
+            """ln k! less Stirling's formula, from 200 on to the last digit."""
+            return (1 / 12 - (1 / 360 - 1 / 1260 / k**2) / k**2) / k
+
+        def upper(start, peak, sd, low, high, density):
+            """The integral of ``density(t - peak)`` from ``start`` to ``high``."""
+            right = start >= peak
+            a = np.where(right, start, np.maximum(low, start - reach * sd))
+            b = np.where(right, np.minimum(high, start + reach * sd), start)
+            half = (b - a) / 2
+            at = (a + b)[:, None] / 2 - peak[:, None] + half[:, None] * nodes
+            part = (density(at) * weights).sum(axis=1) * half
+            return np.where(right, part, 1.0 - part)
+
+        def poisson_cdf(k, m):
+            top = np.exp(-stirling(k)) / np.sqrt(2 * np.pi * k)
+            peak, high = k, np.full(len(k), np.inf)
+
+            def density(y):
+                with np.errstate(divide="ignore"):
+                    return top[:, None] * np.exp(-k[:, None] * bend(y / k[:, None]))
+
+            return upper(m, peak, np.sqrt(k), np.zeros(len(k)), high, density)
+
+        def binomial_cdf(k, n, q):
+            rest, size = n - 1 - k, n - 1
+            s = k / size
+            top = n * np.sqrt(size / (2 * np.pi * k * rest))
+            top = top * np.exp(stirling(size) - stirling(k) - stirling(rest))
+
+            def density(y):
+                with np.errstate(divide="ignore"):
+                    a = k[:, None] * bend(y / s[:, None])
+                    b = rest[:, None] * bend(-y / (1 - s)[:, None])
+                    return top[:, None] * np.exp(-a - b)
+
+            sd = np.sqrt(s * (1 - s) / size)
+            return upper(q, s, sd, np.zeros(len(k)), np.ones(len(k)), density)
+
+        def step(k, u, cdf):
+            """The least k with ``cdf(rows, k) >= u``, from a start that is close."""
+            k, rows = k.copy(), np.arange(len(k))
+            up = cdf(rows, k) < u
+            climb, sink = rows[up], rows[~up]
+            while climb.size:
+                k[climb] += 1
+                climb = climb[cdf(climb, k[climb]) < u[climb]]
+            while sink.size:
+                sink = sink[cdf(sink, k[sink] - 1) >= u[sink]]
+                k[sink] -= 1
+            return k
+
         def binomial(n, p, u):
             # Count the rarer outcome; mirroring u keeps it the same quantile.
             flip = p > 0.5
             q, v = np.where(flip, 1 - p, p), np.where(flip, 1 - u, u)
             out = np.zeros(len(n))
-            big = n * q > limit
+            big = n * q > many
             if big.any():
-                m, sd = n[big] * q[big], np.sqrt(n[big] * q[big] * (1 - q[big]))
-                z = z_of(v[big])
-                skew = (1 - 2 * q[big]) * (z * z - 1) / 6
-                out[big] = np.clip(np.floor(m + sd * z + skew + 0.5), 0, n[big])
+                n_b, q_b, v_b = n[big], q[big], v[big]
+                z = z_of(v_b)
+                skew = (1 - 2 * q_b) * (z * z - 1) / 6
+                near = np.floor(n_b * q_b + np.sqrt(n_b * q_b * (1 - q_b)) * z + skew + 0.5)
+                out[big] = step(near, v_b, lambda r, k: binomial_cdf(k, n_b[r], q_b[r]))
             n_s, q_s = n[~big], q[~big]
             out[~big] = search(
                 v[~big],
@@ -88,16 +154,22 @@ def thinned_poisson():
 
         def poisson(m, u):
             out = np.zeros(len(m))
-            big = m > limit
+            big = m > many
             if big.any():
-                sd, z = np.sqrt(m[big]), z_of(u[big])
+                m_b, u_b = m[big], u[big]
+                sd, z = np.sqrt(m_b), z_of(u_b)
                 skew = (z * z - 1) / 6 + (z - z**3) / (72 * sd)
-                out[big] = np.maximum(0, np.floor(m[big] + sd * z + skew + 0.5))
+                near = np.floor(m_b + sd * z + skew + 0.5)
+                out[big] = step(near, u_b, lambda r, k: poisson_cdf(k, m_b[r]))
             m_s = m[~big]
             out[~big] = search(u[~big], np.exp(-m_s), lambda rows, k: m_s[rows] / k)
             return out
 
-        n, p, mean, u1, u2 = (np.asarray(s, dtype=float) for s in (trials, p, mean, u1, u2))
-        return pd.Series(poisson(mean * binomial(n, p, u1), u2).astype("int64"))
+        given = [np.asarray(s, dtype=float) for s in (trials, p, mean, u1, u2)]
+        known = ~np.isnan(given).any(axis=0)
+        n, q, m, v1, v2 = (x[known] for x in given)
+        out = pd.Series(pd.NA, index=range(len(known)), dtype="Int64")
+        out[known] = poisson(m * binomial(n, q, v1), v2).astype("int64")
+        return out
 
     return F.pandas_udf(count, "bigint")

@@ -73,3 +73,44 @@ def test_large_binomial_moments(spark):
     u = (np.arange(4000) + 0.5) / 4000
     x = np.array(quantiles(spark, 10**7, 0.9, 1.0, u, 0.5), dtype=float)
     assert abs(x.mean() - 9e6) < 60 and abs(x.std() / math.sqrt(9e5) - 1) < 0.02
+
+
+@pytest.mark.parametrize("mean", [501.0, 800.0, 5e3, 1e5, 5e6])
+def test_large_poisson_quantile_is_exact(spark, mean):
+    sd = math.sqrt(mean)
+    low, high = max(0, int(mean - 9 * sd)), int(mean + 9 * sd)
+    mode = int(mean)
+    # From the mode outwards, so that no large logarithms cancel.
+    up = np.cumsum(np.log(mean / np.arange(mode + 1, high)))
+    down = np.cumsum(np.log(np.arange(mode, low, -1) / mean))[::-1]
+    log = np.concatenate((down, [0.0], up))
+    pmf = np.exp(log)
+    cdf = np.cumsum(pmf) / pmf.sum()
+    u = np.linspace(0.0003, 0.9997, 3000)
+    # Where u is a value of the function but for rounding, either side will do.
+    clear = np.abs(cdf[np.clip(np.searchsorted(cdf, u), 0, len(cdf) - 1)] - u) > 1e-12
+    got = np.array(quantiles(spark, 1, 1.0, mean, 0.5, u))
+    assert (got == low + np.searchsorted(cdf, u))[clear].all() and clear.mean() > 0.99
+
+
+@pytest.mark.parametrize("n,p", [(5000, 0.2), (5000, 0.8), (2_000_000, 0.4), (10**8, 1e-5)])
+def test_large_binomial_quantile_is_exact(spark, n, p):
+    mean, sd = n * p, math.sqrt(n * p * (1 - p))
+    mode, low, high = int(mean), max(0, int(mean - 9 * sd)), min(n + 1, int(mean + 9 * sd))
+    k = np.arange(mode + 1, high)
+    up = np.cumsum(np.log((n - k + 1) / k * (p / (1 - p))))
+    k = np.arange(mode, low, -1)
+    down = np.cumsum(np.log(k / (n - k + 1) * ((1 - p) / p)))[::-1]
+    pmf = np.exp(np.concatenate((down, [0.0], up)))
+    cdf = np.cumsum(pmf) / pmf.sum()
+    u = np.linspace(0.0003, 0.9997, 1000)
+    clear = np.abs(cdf[np.clip(np.searchsorted(cdf, u), 0, len(cdf) - 1)] - u) > 1e-12
+    # With a mean of 400 a hit the median count shows the number of hits.
+    hits = np.array([round(c / 400) for c in quantiles(spark, n, p, 400.0, u, 0.5)])
+    assert (hits == low + np.searchsorted(cdf, u))[clear].all()
+
+
+def test_missing_inputs_give_missing_counts(spark):
+    df = spark.createDataFrame([(1, None, 3.0), (1, 0.5, None), (1, 1.0, 3.0)], "t long, p double, m double")
+    got = df.select(draws.thinned_poisson()("t", "p", "m", F.lit(0.5), F.lit(0.5))).collect()
+    assert [r[0] for r in got] == [None, None, 3]
