@@ -55,7 +55,7 @@ site_norm AS (
          "Resort" AS "resort"
   FROM raw_sites),
 site_ids AS (
-  SELECT name, row_number() OVER (ORDER BY name)::INTEGER AS site_id
+  SELECT name, row_number() OVER (ORDER BY name)::BIGINT AS site_id
   FROM (SELECT DISTINCT "Name" AS name FROM raw_obs)),
 joined AS (
   SELECT n.*, i.site_id, s.area, s.access, s.dist_kam, s.dist_van, s.p_seen, s.launch,
@@ -103,7 +103,7 @@ imp AS (
   WHERE EXISTS (SELECT 1 FROM cover c
                 WHERE c."year" = i."year" AND c.site_id = i.site_id AND c.share >= 0.3)),
 season_no AS (
-  SELECT "year", site_id, row_number() OVER (ORDER BY "year", site_id)::INTEGER AS season_idx
+  SELECT "year", site_id, row_number() OVER (ORDER BY "year", site_id)::BIGINT AS season_idx
   FROM (SELECT DISTINCT "year", site_id FROM imp)),
 sdays AS (
   SELECT "year", site_id, julian_day, count(*) AS n_rows,
@@ -126,7 +126,7 @@ parts AS (
   SELECT *, cam_count = 0 AS is_zero,
          count(*) OVER (PARTITION BY "year", site_id, julian_day, "hour", cam_count = 0) AS n_cam,
          row_number() OVER (PARTITION BY "year", site_id, julian_day, cam_count = 0
-                            ORDER BY obs_seq)::INTEGER AS day_index
+                            ORDER BY obs_seq)::BIGINT AS day_index
   FROM imp WHERE cam_count >= 0)
 """
 
@@ -626,7 +626,7 @@ def _oracles() -> dict[str, str]:
     o["j5_merge_daily"] = sql("SELECT * FROM merged")
     o["j6_align_p_seen"] = sql(
         "SELECT sensor_idx, site_id, location, p_seen FROM (SELECT site_id, location, "
-        "row_number() OVER (ORDER BY site_id, location)::INTEGER AS sensor_idx FROM "
+        "row_number() OVER (ORDER BY site_id, location)::BIGINT AS sensor_idx FROM "
         "(SELECT DISTINCT site_id, cam_location AS location FROM false_zero)) "
         "JOIN (SELECT DISTINCT site_id, location, p_seen FROM cam) USING (site_id, location)"
     )
@@ -714,7 +714,7 @@ def _oracles() -> dict[str, str]:
     o["w1_sensors_per_slot"] = sql("SELECT obs_seq, location, n_cam FROM parts")
     o["w2_day_index"] = sql("SELECT obs_seq, location, day_index FROM parts")
     o["w3_reindex_seasons"] = sql("SELECT * FROM season_no")
-    number = "row_number() OVER (ORDER BY site_id, location)::INTEGER AS sensor_idx"
+    number = "row_number() OVER (ORDER BY site_id, location)::BIGINT AS sensor_idx"
     o["w4_sensor_dictionary"] = sql(
         f"SELECT site_id, location, {number} FROM (SELECT site_id, cam_location AS location FROM "
         "matched WHERE cam_count >= 0 UNION SELECT site_id, location FROM imp)"
@@ -821,8 +821,13 @@ def _oracles() -> dict[str, str]:
         "variant, draw, m + z1 / sqrt(p) AS theta, "
         "CASE WHEN contains(variant, '_') THEN m_cov + z2 / sqrt(p_cov) ELSE 0 END AS beta"
     )
-    o["m8_new_sensor_draws"] = sql(
-        modes(), rounded(f"(SELECT {new_cols} FROM ({NEW}))", ["theta", "beta"], "variant, draw")
+    new_effects = (
+        "(SELECT variant, m AS theta_mean, 1 / sqrt(p) AS theta_sd, "
+        "m + CASE WHEN contains(variant, '_') THEN m_cov ELSE 0 END AS both_mean, "
+        "sqrt(1 / p + CASE WHEN contains(variant, '_') THEN 1 / p_cov ELSE 0 END) AS both_sd FROM hyper)"
+    )
+    o["m8_new_sensor_effects"] = sql(
+        modes(), rounded(new_effects, ["theta_mean", "theta_sd", "both_mean", "both_sd"], "variant")
     )
 
     # imputation
@@ -953,10 +958,22 @@ def _oracles() -> dict[str, str]:
         ),
         rounded("dens", ["x", "density"], sensor + ", i", 4),
     )
+    quantities = []
+    for param, variant, effect, end in (
+        ("p_false_zero", "d", "theta", 1.0), ("false_zero_mean_weekday", "L_wk", "theta", 10.0),
+        ("false_zero_mean_weekend", "L_wk", "both", 10.0), ("multiplier_weekday", "a_wk", "theta", 5.0),
+        ("multiplier_weekend", "a_wk", "both", 5.0),
+    ):
+        inside = "x > 0 AND x < 1" if end == 1.0 else "x > 0"
+        back, slope = ("ln(x / (1 - x))", "x * (1 - x)") if end == 1.0 else ("ln(x)", "x")
+        quantities.append(
+            f"SELECT '{param}' AS param, i, x, CASE WHEN {inside} THEN exp(-0.5 * (({back} - {effect}_mean) / {effect}_sd) ** 2) "
+            f"/ ({effect}_sd * sqrt(2 * pi())) / ({slope}) ELSE 0.0 END AS density "
+            f"FROM {new_effects}, (SELECT t.i::INTEGER AS i, t.i * ({end}::DOUBLE / 511) AS x FROM range(512) t(i)) "
+            f"WHERE variant = '{variant}'"
+        )
     o["q4_density_grid_new_sensor"] = sql(
-        modes(),
-        density(f"SELECT variant, draw, exp(m + z1 / sqrt(p)) AS value FROM ({NEW})", "variant", 10.0),
-        rounded("dens", ["x", "density"], "variant, i", 4),
+        modes(), rounded("(" + " UNION ALL ".join(quantities) + ")", ["x", "density"], "param, i", 4)
     )
     return o
 

@@ -563,8 +563,8 @@ def m7_model_dic(spark, sf):
     return rounded(_dic(spark, sf), 4)
 
 
-def m8_new_sensor_draws(spark, sf):
-    return rounded(M.new_sensor_draws(M.start_hyper(effects(spark, sf)), N_DRAWS, SEED))
+def m8_new_sensor_effects(spark, sf):
+    return rounded(M.new_sensor_effects(M.start_hyper(effects(spark, sf))))
 
 
 # --- imputation -------------------------------------------------------------------
@@ -730,8 +730,7 @@ def q1_posterior_means(spark, sf):
 
 
 def q1_posterior_means_hyper(spark, sf):
-    fit = M.fit_hierarchical(effects(spark, sf))
-    return Q.posterior_means(M.draw_hyper(fit, 200, SEED))
+    return rounded(M.hyper_summary(M.fit_hierarchical(effects(spark, sf))), 3)
 
 
 def q2_posterior_summary(spark, sf):
@@ -750,9 +749,8 @@ def q4_density_grid(spark, sf):
 
 
 def q4_density_grid_new_sensor(spark, sf):
-    new = M.new_sensor_draws(M.start_hyper(effects(spark, sf)), N_DRAWS, SEED)
-    draws = new.select("variant", "draw", F.exp("theta").alias("value"))
-    return rounded(Q.density_grid(draws, 10.0, keys=["variant"]), 4)
+    found = M.new_sensor_effects(M.start_hyper(effects(spark, sf)))
+    return rounded(Q.new_sensor_density(found), 4)
 
 
 QUERIES: dict[str, Query] = {

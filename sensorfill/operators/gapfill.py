@@ -67,7 +67,12 @@ def donors(attributes: DataFrame, n: int = S.N_DONORS) -> DataFrame:
 
 
 def donor_days(donors: DataFrame, days: DataFrame) -> DataFrame:
-    """Each day of each donor, and whether the season has that day itself."""
+    """Each day of each donor, and whether the season has that day itself.
+
+    A day on which no count is known is a day to fill, and nothing a donor can give.
+    """
+    if "n_zero" in days.columns:
+        days = days.filter(F.col("n_zero") + F.col("n_pos") > 0)
     given = days.select(
         "year", F.col("site_id").alias("donor_site_id"), "julian_day"
     )
@@ -163,8 +168,9 @@ def fill_effort(
     """Effort on each fill day (an inferred formula: a ratio estimator).
 
     A donor's effort on the day, scaled by the ratio of the two sites' sums over
-    their common days, averaged over the donors of that day. A donor whose sum
-    over the common days is zero is passed over. ``by`` names further keys of
+    their common days, averaged over the donors of that day. Common days on which
+    either effort is unknown enter neither sum. A donor whose sum over the common
+    days is zero is passed over. ``by`` names further keys of
     ``effort_daily``, such as the draw.
     """
     by = list(by)
@@ -179,9 +185,10 @@ def fill_effort(
     )
     # A season and donor share at most 366 days, so the window is bounded.
     pair = Window.partitionBy(*by, *PAIR)
+    both_known = F.col("common") & F.col("own_effort").isNotNull() & F.col("donor_effort").isNotNull()
     ratio = F.try_divide(
-        F.sum(F.when(F.col("common"), F.col("own_effort"))).over(pair),
-        F.sum(F.when(F.col("common"), F.col("donor_effort"))).over(pair),
+        F.sum(F.when(both_known, F.col("own_effort"))).over(pair),
+        F.sum(F.when(both_known, F.col("donor_effort"))).over(pair),
     )
     return (
         both.withColumn("ratio", ratio)

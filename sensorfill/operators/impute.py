@@ -77,7 +77,8 @@ def expected_effort(
 ) -> DataFrame:
     """Add the mean and the variance of each group's effort at given parameters."""
     delta, lam, alpha = _rates(p_seen_mode)
-    n, rows, cam = F.col("n_cam"), F.col("n_rows"), F.col("cam_sum")
+    # As doubles: the square of a hot hour's count is beyond a bigint.
+    n, rows, cam = (F.col(c).cast("double") for c in ("n_cam", "n_rows", "cam_sum"))
     known = lookup_join(groups, params.select(*S.SENSOR, *_EFFECTS), S.SENSOR, "left")
     hit = delta * lam
     return known.withColumns(
@@ -124,13 +125,14 @@ def draw_efforts(
     """Effort of each group at each draw.
 
     ``key`` names the integer columns that tell groups apart. With ``n_draws`` the
-    parameters are held fixed and only the counts are drawn; without it, ``params``
-    is a table of parameter draws and each is used once.
+    parameters are held fixed and only the counts are drawn, and the effort at a
+    sensor without parameters is unknown, as in ``expected_effort``; without it,
+    ``params`` is a table of parameter draws and each is used once, for its sensors.
     """
     if n_draws is None:
         joined = groups.join(params.select("draw", *S.SENSOR, *_EFFECTS), S.SENSOR)
     else:
-        joined = lookup_join(groups, params.select(*S.SENSOR, *_EFFECTS), S.SENSOR)
+        joined = lookup_join(groups, params.select(*S.SENSOR, *_EFFECTS), S.SENSOR, "left")
         joined = joined.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     digest = key_digest(
         seed, F.col("is_zero").cast("int"), *[F.col(k) for k in key], F.col("draw")

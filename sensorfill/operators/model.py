@@ -230,7 +230,7 @@ def _newton():
     """Pandas UDF: the posterior mode (theta, beta) of each row.
 
     Newton's method for all rows of a batch at once, at most two units a step,
-    until no row moves. Written as a nested column expression the same steps were
+    until no row moves. A row that still moves after ``steps`` steps is an error. Written as a nested column expression the same steps were
     much slower, for want of shared terms.
     """
 
@@ -254,7 +254,8 @@ def _newton():
         own = np.log((hits + 0.5) / np.where(logistic, size - hits + 0.5, size + 0.5))
         weight = np.where(logistic, size / 4.0, hits)
         theta, beta = (p * m + weight * own) / (p + weight), mc.copy()
-        for _ in range(200):
+        steps, still = 200, 0.0
+        for _ in range(steps):
             mean_0, curve_0 = fitted(s0, theta)
             mean_1, curve_1 = fitted(s1, theta + beta)
             to_beta = h1 - mean_1 - pc * (beta - mc)
@@ -264,8 +265,12 @@ def _newton():
             move_theta = np.clip((c * to_theta - b * to_beta) / det, -2.0, 2.0)
             move_beta = np.clip((a * to_beta - b * to_theta) / det, -2.0, 2.0)
             theta, beta = theta + move_theta, beta + move_beta
-            if max(np.abs(move_theta).max(), np.abs(move_beta).max()) < 1e-12:
+            still = max(np.abs(move_theta).max(initial=0), np.abs(move_beta).max(initial=0))
+            if still < 1e-12:
                 break
+        # Rounding keeps the last digits moving where counts are very large.
+        if not still < 1e-3:
+            raise RuntimeError(f"a posterior mode still moves by {still} after {steps} steps")
         return pd.DataFrame({"theta": theta, "beta": beta})
 
     return F.pandas_udf(solve, "theta double, beta double")
@@ -711,25 +716,27 @@ def thin_draws(draws: DataFrame, burn: int, thin: int) -> DataFrame:
     return draws.filter((after > 0) & (after % thin == 0))
 
 
-def new_sensor_draws(hyper: DataFrame, n_draws: int, seed: int = 1) -> DataFrame:
-    """Draws of the effects of a sensor without any ground counts (inferred).
+def new_sensor_effects(hyper: DataFrame) -> DataFrame:
+    """Mean and standard deviation of the effects of a sensor never seen against ground
+    counts: Normal with the mean and the precision of the effect over sensors.
 
-    Normal with the mean and precision of the effect over sensors.
+    ``theta`` is the plain effect, ``both`` its sum with the effect of the covariate.
     """
-    spread = hyper.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    spread = spread.withColumn("_d", key_digest(seed, F.lit("new"), F.col("variant"), F.col("draw")))
-    z1, z2 = normal_pair(uniform(F.col("_d"), 0), uniform(F.col("_d"), 1))
-    beta = F.col("m_cov") + z2 / F.sqrt("p_cov")
-    return spread.select(
+    covariate = F.when(_has_covariate(), F.lit(1.0)).otherwise(0.0)
+    return hyper.select(
         "variant",
-        "draw",
-        (F.col("m") + z1 / F.sqrt("p")).alias("theta"),
-        F.when(_has_covariate(), beta).otherwise(0.0).alias("beta"),
+        F.col("m").alias("theta_mean"),
+        (1 / F.sqrt("p")).alias("theta_sd"),
+        (F.col("m") + covariate * F.col("m_cov")).alias("both_mean"),
+        F.sqrt(1 / F.col("p") + covariate / F.col("p_cov")).alias("both_sd"),
     )
 
 
-def draw_hyper(fit: DataFrame, n_draws: int, seed: int = 1, n_chains: int = 2) -> DataFrame:
-    """Draws of the means and precisions around their estimates, in long form."""
+def hyper_summary(fit: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """Estimate, standard error and interval of each fitted hyperparameter, in long form.
+
+    Those without a standard error, which the data leave undecided, are left out.
+    """
     names = F.stack(
         F.lit(4),
         F.lit("m"), F.col("m"), F.col("m_se"),
@@ -738,16 +745,12 @@ def draw_hyper(fit: DataFrame, n_draws: int, seed: int = 1, n_chains: int = 2) -
         F.lit("log_p_cov"), F.ln("p_cov"), F.col("log_p_cov_se"),
     ).alias("name", "estimate", "error")
     long = fit.select("variant", names).filter(F.col("error").isNotNull())
-    spread = long.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    spread = spread.withColumn(
-        "_d", key_digest(seed, F.lit("hyper"), F.col("variant"), F.col("name"), F.col("draw"))
-    )
-    z, _ = normal_pair(uniform(F.col("_d"), 0), uniform(F.col("_d"), 1))
-    return spread.select(
+    return long.select(
         F.concat_ws(".", "variant", "name").alias("param"),
-        ((F.col("draw") - 1) % n_chains + 1).alias("chain"),
-        "draw",
-        (F.col("estimate") + F.col("error") * z).alias("value"),
+        "estimate",
+        "error",
+        (F.col("estimate") - z * F.col("error")).alias("low"),
+        (F.col("estimate") + z * F.col("error")).alias("high"),
     )
 
 

@@ -131,6 +131,44 @@ def density_grid(
     )
 
 
+def new_sensor_density(effects: DataFrame, n: int = 512) -> DataFrame:
+    """Density of each plotted quantity at a sensor without ground counts, on its grid.
+
+    ``effects`` has the Normal effects by variant. The quantity is a transformed effect,
+    an inverse logit or an exponential, so its density is exact: that of the effect where
+    the transformation comes from, times the slope there. At the ends it is zero.
+    """
+    # The variant and the effect behind each quantity.
+    sources = [
+        ("p_false_zero", "d", "theta"),
+        ("false_zero_mean_weekday", "L_wk", "theta"),
+        ("false_zero_mean_weekend", "L_wk", "both"),
+        ("multiplier_weekday", "a_wk", "theta"),
+        ("multiplier_weekend", "a_wk", "both"),
+    ]
+    x = F.col("x")
+    parts = []
+    for param, variant, effect in sources:
+        end = GRID_ENDS[param]
+        grid = effects.filter(F.col("variant") == variant).select(
+            F.lit(param).alias("param"),
+            F.col(f"{effect}_mean").alias("mean"),
+            F.col(f"{effect}_sd").alias("sd"),
+            F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"),
+        )
+        grid = grid.withColumn("x", F.col("i") * F.lit(end / (n - 1)))
+        inner = (x > 0) & (x < 1) if param == "p_false_zero" else x > 0
+        source = F.ln(x / (1 - x)) if param == "p_false_zero" else F.ln(x)
+        slope = 1 / (x * (1 - x)) if param == "p_false_zero" else 1 / x
+        z = (source - F.col("mean")) / F.col("sd")
+        density = F.exp(-0.5 * z * z) / (F.col("sd") * F.sqrt(2 * F.pi())) * slope
+        parts.append(grid.select("param", "i", "x", F.when(inner, density).otherwise(0.0).alias("density")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def compare_fits(
     first: DataFrame, second: DataFrame, keys: Sequence[str] = ("param",)
 ) -> DataFrame:

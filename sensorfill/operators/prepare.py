@@ -32,17 +32,23 @@ def normalize_sites(df: DataFrame) -> DataFrame:
 def assign_site_ids(observations: DataFrame) -> DataFrame:
     """``(name, site_id)``: 1..n over all observed names in alphabetical order.
 
-    Ids are given before any site is excluded, so they may have gaps later.
+    Ids are given before any site is excluded, so they may have gaps later. A missing
+    name gets none.
     """
-    return global_index(observations.select("name").distinct(), ["name"], "site_id")
+    names = observations.select("name").filter(F.col("name").isNotNull())
+    return global_index(names.distinct(), ["name"], "site_id")
 
 
 def site_table(observations: DataFrame, sites: DataFrame) -> DataFrame:
-    """One row per observed site: its id and its attributes, matched by name."""
-    names = observations.select("name").distinct()
-    attributes = sites.select("name", *S.SITE_ATTRIBUTES)
-    numbered = global_index(names.join(attributes, "name", "left"), ["name"], "site_id")
-    return as_lookup(numbered)
+    """One row per observed site: its id and its attributes, matched by name.
+
+    A site may be listed again with the same attributes, not with others.
+    """
+    attributes = sites.select("name", *S.SITE_ATTRIBUTES).distinct()
+    twice = attributes.filter(F.col("name").isNotNull()).groupBy("name").count().filter("count > 1")
+    if (first := twice.orderBy("name").first()) is not None:
+        raise ValueError(f"site {first['name']!r} is listed with different attributes")
+    return as_lookup(assign_site_ids(observations).join(attributes, "name", "left"))
 
 
 def join_sites(observations: DataFrame, site_dim: DataFrame) -> DataFrame:
@@ -51,7 +57,8 @@ def join_sites(observations: DataFrame, site_dim: DataFrame) -> DataFrame:
 
 
 def exclude_sites(df: DataFrame, names: Sequence[str] = S.EXCLUDED_SITES) -> DataFrame:
-    return df.filter(~F.col("name").isin(*names))
+    """Leave out the named sites; rows without a name are none of them and stay."""
+    return df.filter(F.coalesce(~F.col("name").isin(*names), F.lit(True)))
 
 
 def slot(datetime: Column) -> Column:
@@ -102,8 +109,12 @@ def split_by_method(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def key_rows(
     observations: DataFrame, site_dim: DataFrame, excluded: Sequence[str] = S.EXCLUDED_SITES
 ) -> DataFrame:
-    """Normalized rows with site ids, attributes and keys."""
-    return add_keys(join_sites(exclude_sites(observations, excluded), site_dim))
+    """Normalized rows with site ids, attributes and keys.
+
+    Rows without a site name belong to no site and are left out here.
+    """
+    named = exclude_sites(observations, excluded).filter(F.col("name").isNotNull())
+    return add_keys(join_sites(named, site_dim))
 
 
 def prepare_observations(

@@ -146,7 +146,7 @@ def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     ordered = _ordered(df, order)
     in_part = F.col("_row").bitwiseAND(F.lit((1 << _PARTITION_BIT) - 1))
     before = _before(ordered, {"n": F.lit(1)})["n"]
-    return ordered.select(*df.columns, (before + in_part + 1).cast("int").alias(name))
+    return ordered.select(*df.columns, (before + in_part + 1).alias(name))
 
 
 def running_number(
@@ -174,6 +174,6 @@ def running_number(
     )
     return (
         numbered.join(offsets, cut)
-        .withColumn(name, (F.col("_before") + F.col("_in")).cast("int"))
+        .withColumn(name, F.col("_before") + F.col("_in"))
         .select(*df.columns, name)
     )

@@ -29,7 +29,8 @@ class Settings:
     holds out a share of the pairs and measures the error there.
     ``require_all_donors`` fills only seasons with all donors usable;
     ``restrict_calibration`` leaves the seasons that are not reported out of the
-    fit altogether.
+    fit altogether. A fit that did not converge is refused unless
+    ``accept_unconverged``.
     """
 
     excluded: Sequence[str] = S.EXCLUDED_SITES
@@ -48,6 +49,7 @@ class Settings:
     p_seen_mode: str = "none"
     require_all_donors: bool = False
     restrict_calibration: bool = False
+    accept_unconverged: bool = False
 
 
 @dataclass(frozen=True)
@@ -163,6 +165,11 @@ def estimate_effort(
 
     effects = calibration_effects(pairs, rows.camera_copies, seasons, settings)
     fit = model.fit_hierarchical(effects)
+    if not settings.accept_unconverged:
+        # One row for each of the six variants.
+        failed = sorted(r["variant"] for r in fit.filter("not converged").collect())
+        if failed:
+            raise RuntimeError(f"the fit did not converge for {', '.join(failed)}")
     modes = materialize(model.effect_modes(effects, fit))
     out = {"fit": fit, "coverage": seasons.coverage}
     chosen = settings.model

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorfill import schema as S
-from sensorfill.operators.scale import global_index, lookup_join
+from sensorfill.operators.scale import lookup_join, running_sums
 
 # What separates, quotes, comments and marks missing values.
 _FIELD = r""""[^"]*"|'[^']*'|[^\s"']+"""
@@ -15,8 +15,6 @@ _COMMENT = r"""^((?:[^"'#]|"[^"]*"|'[^']*')*)#.*$"""
 _QUOTES = r"""^["']|["']$"""
 _MISSING = "NA"
 
-_FILE_BITS = 40  # room for a terabyte of offsets in each file
-
 
 def _fields(line: Column) -> Column:
     """The fields of a line, unquoted; anything after ``#`` is a comment."""
@@ -30,9 +28,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
     The header names the columns; those in ``schema`` are cast to its types and
     any others are left out. A header with one name fewer than the lines have
-    fields means the lines begin with a row label. ``obs_seq`` is made of the
-    file's place in the sorted list, the offset of the block and the line's place
-    in the task, so files are read by many tasks and lines still have an order.
+    fields means the lines begin with a row label. ``obs_seq`` is the line's place
+    among all lines in the order of files and lines: the lines in earlier blocks,
+    counted once for each block, and the line's place in its own. So files are read
+    by many tasks, and neither their number nor their size has a limit.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -52,11 +51,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         text = F.element_at("fields", header.index(field.name) + 1 + labelled)
         return F.when(text != _MISSING, text).cast(field.dataType).alias(field.name)
 
-    # Listing only: the content column is not read.
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
-    ranked = global_index(files.distinct(), ["file"], "file_no")
-    seq = F.shiftleft(F.col("file_no").cast("bigint"), _FILE_BITS) + F.col("block") + F.col("line")
-    return lookup_join(body, ranked, "file", "left").select(
+    at = ["file", "block"]
+    blocks = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
+    placed = running_sums(blocks, at, {"until": F.col("n")})
+    seq = F.col("until") - F.col("n") + F.col("line") - F.col("first")
+    return lookup_join(body, placed, at, "left").select(
         seq.alias("obs_seq"), *[column(f) for f in schema.fields]
     )
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorfill.operators import model
+from sensorfill.operators import model, posterior
 
 COLUMNS = "site_id int, location int, variant string, hits_0 double, size_0 double, hits_1 double, size_1 double"
 
@@ -251,15 +251,27 @@ def test_dic_and_best_model(spark):
     assert sorted(r["model"] for r in model.best_model(tied).collect()) == [3, 8]
 
 
-def test_new_sensor_draws_follow_the_hyperparameters(spark):
-    hyper = spark.createDataFrame(
-        [("a", -0.5, 16.0, 0.0, 1.0), ("a_wk", -0.5, 16.0, 0.2, 25.0)],
-        "variant string, m double, p double, m_cov double, p_cov double",
-    )
-    x = model.new_sensor_draws(hyper, 20000, seed=2).toPandas()
-    one, two = x[x["variant"] == "a"], x[x["variant"] == "a_wk"]
-    assert abs(one["theta"].mean() + 0.5) < 0.01 and abs(one["theta"].std() - 0.25) < 0.01
-    assert (one["beta"] == 0).all() and abs(two["beta"].std() - 0.2) < 0.01
+def test_new_sensor_effects_and_densities(spark):
+    rows = [("d", -0.5, 16.0, 0.0, 1.0), ("L_wk", 0.3, 4.0, 0.2, 25.0), ("a_wk", -0.5, 16.0, 0.2, 25.0)]
+    hyper = spark.createDataFrame(rows, "variant string, m double, p double, m_cov double, p_cov double")
+    found = model.new_sensor_effects(hyper)
+    x = found.toPandas().set_index("variant")
+    assert np.allclose(x["theta_sd"], [0.25, 0.5, 0.25])
+    assert np.allclose(x["both_mean"], [-0.5, 0.5, -0.3])
+    assert np.allclose(x["both_sd"], [0.25, math.sqrt(0.25 + 0.04), math.sqrt(0.0625 + 0.04)])
+    grid = posterior.new_sensor_density(found, 4001).toPandas()
+    rng = np.random.default_rng(1)
+    drawn = {
+        "p_false_zero": 1 / (1 + np.exp(-rng.normal(-0.5, 0.25, 200_000))),
+        "false_zero_mean_weekend": np.exp(rng.normal(0.5, math.sqrt(0.29), 200_000)),
+        "multiplier_weekday": np.exp(rng.normal(-0.5, 0.25, 200_000)),
+    }
+    for param, values in drawn.items():
+        g = grid[grid["param"] == param].sort_values("i")
+        step = g["x"].iloc[1]
+        assert abs((g["density"] * step).sum() - 1) < 0.01
+        assert abs((g["density"] * g["x"] * step).sum() - values.mean()) < 0.02
+    assert set(grid["param"]) == set(posterior.GRID_ENDS)
 
 
 @pytest.mark.parametrize("variants", [["d", "L", "a"]])
@@ -268,8 +280,8 @@ def test_fit_returns_one_row_per_variant(spark, variants):
     rows = logistic_sensors(rng, 5, 0, 4) + poisson_sensors(rng, 5, 0, 4) + poisson_sensors(rng, 5, 0, 4, variant="a")
     fit = model.fit_hierarchical(table(spark, rows), variants)
     assert sorted(r["variant"] for r in fit.collect()) == sorted(variants)
-    drawn = model.draw_hyper(fit, 50, seed=1)
-    assert drawn.filter("value is null").count() == 0
+    summary = model.hyper_summary(fit).collect()
+    assert summary and all(r["low"] < r["estimate"] < r["high"] for r in summary)
 
 
 @pytest.mark.parametrize("start", [(0.6, 0.0), (-4.0, 8.0), (5.0, -9.0)])
