@@ -27,7 +27,8 @@ class Settings:
     DIC instead. ``detail`` names one (year, site_id) to report by day; counts at
     false zeros and at positives are then calibrated on it alone. ``eval_fit``
     holds out a share of the pairs and measures the error there.
-    ``require_all_donors`` fills only seasons with all donors usable;
+    ``vary_parameters`` draws the sensors' parameters too, for each draw of the effort,
+    instead of holding them at their modes. ``require_all_donors`` fills only seasons with all donors usable;
     ``restrict_calibration`` leaves the seasons that are not reported out of the
     fit altogether. A fit that did not converge is refused unless
     ``accept_unconverged``.
@@ -43,9 +44,8 @@ class Settings:
     eval_fit: bool = False
     psamp: float = S.TRAINING_SHARE
     n_draws: int = 1000
-    burn: int = 0
-    thin: int = 1
     seed: int = 1
+    vary_parameters: bool = False
     p_seen_mode: str = "none"
     require_all_donors: bool = False
     restrict_calibration: bool = False
@@ -120,7 +120,6 @@ def choose_model(
 ) -> DataFrame:
     """DIC of the eight models, from draws around the fitted modes."""
     draws = model.draw_effects(modes, settings.n_draws, settings.seed)
-    draws = model.thin_draws(draws, settings.burn, settings.thin)
     return model.model_dic(model.variant_deviance(draws, effects), constant)
 
 
@@ -152,7 +151,8 @@ def estimate_effort(
     """The whole job. Returns the tables a user asks for, by name.
 
     ``fit`` and ``params`` are the calibration, ``daily`` and ``annual`` the
-    expected effort, ``draws`` the daily effort at each draw, ``dic`` the model
+    expected effort, ``draws`` the daily effort at each draw, ``intervals`` and
+    ``annual_draws`` its spread by day and by year, ``dic`` the model
     comparison (with ``run_all``) and ``error`` the hold-out error (with
     ``eval_fit``). The fit and the daily means are computed here, the rest when used.
     """
@@ -182,15 +182,17 @@ def estimate_effort(
     groups = impute.effort_groups(seasons.hours)
     expected = impute.expected_effort(groups, params, settings.p_seen_mode)
     daily = materialize(impute.sum_effort_daily(expected))
-    draws = impute.effort_draws(
-        groups, params, settings.n_draws, settings.seed, settings.p_seen_mode
-    )
+    given, n_draws = params, settings.n_draws
+    if settings.vary_parameters:
+        given, n_draws = model.draw_parameters(params, settings.n_draws, settings.seed), None
+    draws = impute.effort_draws(groups, given, n_draws, settings.seed, settings.p_seen_mode)
     out.update(
         params=params,
         daily=daily,
         annual=fill_gaps(daily, seasons, settings),
         draws=draws,
         intervals=impute.effort_intervals(draws),
+        annual_draws=annual_draws(draws, seasons, settings),
     )
     if validation is not None:
         rows = impute.as_groups(impute.holdout_rows(validation))

@@ -51,3 +51,13 @@ def test_whole_job_for_one_season(spark):
 def test_calibration_can_leave_out_poor_seasons(spark):
     out = run(spark, restrict_calibration=True, require_all_donors=True, p_seen_mode="logit", cutoff=0.2)
     assert out["fit"].count() == 6 and out["annual"].count() > 0
+
+
+def test_parameter_uncertainty_widens_the_yearly_effort(spark):
+    fixed, varied = run(spark, cutoff=0.1), run(spark, cutoff=0.1, vary_parameters=True)
+    spread = []
+    for out in (fixed, varied):
+        years = out["annual_draws"].toPandas().set_index(["year", "site_id"]).sort_index()
+        assert (years["low"] <= years["mean"]).all() and (years["mean"] <= years["high"]).all()
+        spread.append(years["sd"])
+    assert (spread[1] > spread[0]).mean() > 0.7
