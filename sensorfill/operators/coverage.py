@@ -200,12 +200,9 @@ def group_ordinal(rows: DataFrame, merged: DataFrame) -> DataFrame:
     """Each zero or positive row with the ordinal of its day group."""
     groups = merged.select(*S.SEASON_DAY, "zero_group", "pos_group")
     ordinal = F.when(is_zero(), F.col("zero_group")).otherwise(F.col("pos_group"))
-    return (
-        rows.filter(is_zero() | is_positive())
-        .join(groups, S.SEASON_DAY)
-        .withColumn("group_ordinal", ordinal)
-        .drop("zero_group", "pos_group")
-    )
+    # A row for each day at most, so the camera rows need no shuffle.
+    known = lookup_join(rows.filter(is_zero() | is_positive()), groups, S.SEASON_DAY)
+    return known.withColumn("group_ordinal", ordinal).drop("zero_group", "pos_group")
 
 
 # --- windows --------------------------------------------------------------------

@@ -11,11 +11,16 @@ from sensorfill import schema as S
 from sensorfill.functions.draws import key_digest, uniform
 from sensorfill.operators.scale import materialize
 
+# What tells groups of zero counts apart.
 TRUE_ZERO_KEYS = [
     "p_seen", "area", "weekend", "time_of_day", "hour", "year", "cam_location", "site_id",
 ]
 
 
+# More location codes than this are a mistake: every ground row is repeated for each.
+MAX_LOCATIONS = 1000
+
+
 def first_camera_counts(cameras: DataFrame) -> DataFrame:
     """The first camera row of each site, slot and location.
 
@@ -53,11 +58,14 @@ def pair_counts(ground: DataFrame, cameras: DataFrame) -> DataFrame:
     ground row; ``cam_location`` is the camera's.
     """
     # The location codes are a handful of digits; they reach the rows as one array.
+    found = F.array_sort(F.collect_list("location"))
+    few = F.size(found) <= MAX_LOCATIONS
+    error = F.raise_error(F.lit(f"more than {MAX_LOCATIONS} location codes"))
     codes = (
         ground.select("location")
         .unionByName(cameras.select("location"))
         .distinct()
-        .agg(F.array_sort(F.collect_list("location")))
+        .agg(F.when(few, found).otherwise(error))
     )
     # Written first, so that both sides of the join are shuffled for it and adaptive
     # execution can split a slot with very many ground rows.
