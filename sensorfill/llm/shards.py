@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorfill.llm.common import plain_bytes, start_offsets, stored
+from sensorfill.llm.common import start_offsets, stored
 from sensorfill.operators.scale import default_tasks, lookup_join
 
 #: Merge ranks of the tokenizer; the next id after them ends a document and pads.
@@ -30,59 +30,18 @@ KEY = 0x5EED
 ROUNDS = 6
 #: Bytes of shards that one task writes, about.
 TASK_BYTES = 64 << 20
-#: Pieces of text whose ids a task remembers.
-MEMO = 200_000
-
-
-class Tokens:
-    """Token ids of texts. A piece that begins with a space before a visible character is
-    tokenized alone, since the pattern never crosses such a space, and remembered."""
-
-    def __init__(self, ranks: str = RANKS):
-        import base64
-
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self.end = max(table.values()) + 1
-        self.encode = tiktoken.Encoding(
-            "ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}
-        ).encode_ordinary
-        self.memo: dict[str, list[int]] = {}
-
-    def _piece(self, part: str) -> list[int]:
-        ids = self.encode(" " + part)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[part] = ids
-        return ids
-
-    def ids(self, text: str) -> list[int]:
-        known, out = self.memo.get, []
-        parts = text.split(" ")
-        # A part is apart from its neighbours if it begins and ends visibly.
-        open_from = 0 if parts[0] else None
-        if open_from is None:
-            open_from = 0
-        for i, part in enumerate(parts):
-            found = known(part) if i else None
-            if found is None:
-                if not i or not part or part[0].isspace() or part[-1].isspace():
-                    if open_from is None:
-                        open_from = i
-                    continue
-                found = self._piece(part)
-            if open_from is not None:
-                out += self._run(parts, open_from, i)
-                open_from = None
-            out += found
-        if open_from is not None:
-            out += self._run(parts, open_from, len(parts))
-        return out
-
-    def _run(self, parts: list[str], low: int, high: int) -> list[int]:
-        return self.encode((" " if low else "") + " ".join(parts[low:high]))
+
+
+def encoder(ranks: str = RANKS):
+    """(text -> token ids, the id that ends a document) for a file of merge ranks."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    made = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return made.encode_ordinary, max(table.values()) + 1
 
 
 def with_tokens(docs: DataFrame, ranks: str = RANKS, seq_len: int = SEQ_LEN) -> DataFrame:
@@ -94,12 +53,16 @@ def with_tokens(docs: DataFrame, ranks: str = RANKS, seq_len: int = SEQ_LEN) ->
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(ranks)
-        kind = "<u2" if tokens.end < 1 << 16 else "<u4"
+        encode, end = encoder(ranks)
+        kind = "<u2" if end < 1 << 16 else "<u4"
         for batch in batches:
-            lists = [tokens.ids(t or "") for t in batch.column("text").to_pylist()]
-            size = np.array([len(x) + 1 for x in lists], dtype=np.int64)
-            packed = [np.array([*x, tokens.end], dtype=kind).tobytes() for x in lists]
+            size, packed = np.zeros(batch.num_rows, dtype=np.int64), []
+            for i, text in enumerate(batch.column("text")):
+                # Packed at once: a batch of ids as Python numbers would be very large.
+                ids = encode(text.as_py() or "")
+                ids.append(end)
+                size[i] = len(ids)
+                packed.append(np.array(ids, dtype=kind).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("uid"), batch.column("doc_id"), pa.array(size), pa.array(-(-size // seq_len)), pa.array(packed, pa.binary())],
                 names=["uid", "doc_id", "n_tokens", "n_seqs", "tokens"],
