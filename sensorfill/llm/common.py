@@ -158,7 +158,7 @@ def plain_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def start_offsets(
-    df: DataFrame, group: list[str], order: Column, weight: str, name: str, span: int = 50_000
+    df: DataFrame, group: list[str], order: Column, weight: str, name: str, span: int = 4096
 ) -> DataFrame:
     """Add the sum of ``weight`` over the rows before each row of its group.
 
