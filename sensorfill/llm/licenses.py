@@ -10,6 +10,7 @@ within a document's row, so nothing is shuffled.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,47 +23,71 @@ BASE = {
     "mit license": "mit",
 }
 
-# Families: label, keyword, names as regular expressions over words, versions.
+# Families: label, names as regular expressions over words, versions.
 FAMILIES = (
-    ("gpl", "g", ("gnu general public licen[sc]e", "gnu gpl", "gpl"), ("1", "1 0", "2", "2 0", "3", "3 0")),
-    ("lgpl", "l", ("gnu (?:lesser|library) general public licen[sc]e", "gnu lgpl", "lgpl"), ("2", "2 0", "2 1", "3", "3 0")),
-    ("agpl", "a", ("gnu affero general public licen[sc]e", "affero gpl", "agpl"), ("1 0", "3", "3 0")),
-    ("gfdl", "documentation", ("gnu free documentation licen[sc]e", "gfdl"), ("1 1", "1 2", "1 3")),
-    ("apache", "apache", ("apache (?:software )?licen[sc]e", "apache"), ("1 0", "1 1", "2", "2 0")),
-    ("mit", "mit lic", ("mit licen[sc]e", "mit licensed"), ()),
-    ("expat", "expat lic", ("expat licen[sc]e",), ()),
-    ("x11", "x11 lic", ("x11 licen[sc]e",), ()),
-    ("bsd-2-clause", "bsd", ("bsd 2 clause(?: licen[sc]e)?", "2 clause bsd", "simplified bsd licen[sc]e"), ()),
-    ("bsd-3-clause", "bsd", ("bsd 3 clause(?: licen[sc]e)?", "3 clause bsd", "(?:new|modified) bsd licen[sc]e"), ()),
-    ("bsd-4-clause", "bsd", ("bsd 4 clause(?: licen[sc]e)?", "4 clause bsd", "original bsd licen[sc]e"), ()),
-    ("0bsd", "bsd", ("0bsd", "zero clause bsd"), ()),
-    ("bsd", "bsd", ("bsd licen[sc]e",), ()),
-    ("isc", "isc lic", ("isc licen[sc]e",), ()),
-    ("mpl", "m", ("mozilla public licen[sc]e", "mpl"), ("1 0", "1 1", "2", "2 0")),
-    ("epl", "e", ("eclipse public licen[sc]e", "epl"), ("1 0", "2", "2 0")),
-    ("cpl", "common public", ("common public licen[sc]e",), ("1 0",)),
-    ("cddl", "development and distribution", ("common development and distribution licen[sc]e",), ("1 0", "1 1")),
-    ("eupl", "european union public", ("european union public licen[sc]e",), ("1 0", "1 1", "1 2")),
-    ("artistic", "artistic", ("artistic licen[sc]e",), ("1 0", "2 0")),
-    ("ofl", "open font", ("(?:sil )?open font licen[sc]e",), ("1 0", "1 1")),
-    ("odbl", "open d", ("open (?:data commons open )?database licen[sc]e",), ("1 0",)),
-    ("odc-by", "data commons attribution", ("open data commons attribution licen[sc]e",), ("1 0",)),
-    ("pddl", "public domain dedication", ("public domain dedication and licen[sc]e",), ("1 0",)),
-    ("cecill", "cecill", ("cecill(?: licen[sc]e)?",), ("1 0", "2 0", "2 1")),
-    ("zlib", "zlib lic", ("zlib(?: libpng)? licen[sc]e",), ()),
-    ("boost", "boost software", ("boost software licen[sc]e",), ("1 0",)),
-    ("unlicense", "unlicense", ("unlicense",), ()),
-    ("wtfpl", "wtfpl", ("wtfpl",), ()),
-    ("ms-pl", "microsoft public", ("microsoft public licen[sc]e",), ()),
-    ("ms-rl", "microsoft reciprocal", ("microsoft reciprocal licen[sc]e",), ()),
-    ("ncsa", "open source lic", ("university of illinois ncsa open source licen[sc]e",), ()),
-    ("postgresql", "postgresql lic", ("postgresql licen[sc]e",), ()),
-    ("python", "python", ("python software foundation licen[sc]e", "psf licen[sc]e"), ("2",)),
-    ("php", "php lic", ("php licen[sc]e",), ("3 0", "3 01")),
-    ("openssl", "openssl lic", ("openssl licen[sc]e",), ()),
-    ("cc0", "cc0", ("cc0",), ("1 0",)),
-    ("cc0", "creative commons zero", ("creative commons zero",), ("1 0",)),
-    ("proprietary", "proprietary", ("proprietary(?: and confidential)?",), ()),
+    ("gpl", ("gnu general public licen[sc]e", "gnu gpl", "gpl"), ("1", "1 0", "2", "2 0", "3", "3 0")),
+    ("lgpl", ("gnu (?:lesser|library) general public licen[sc]e", "gnu lgpl", "lgpl"), ("2", "2 0", "2 1", "3", "3 0")),
+    ("agpl", ("gnu affero general public licen[sc]e", "affero gpl", "agpl"), ("1 0", "3", "3 0")),
+    ("gfdl", ("gnu free documentation licen[sc]e", "gfdl"), ("1 1", "1 2", "1 3")),
+    ("apache", ("apache (?:software )?licen[sc]e", "apache"), ("1 0", "1 1", "2", "2 0")),
+    ("mit", ("mit licen[sc]e", "mit licensed"), ()),
+    ("expat", ("expat licen[sc]e",), ()),
+    ("x11", ("x11 licen[sc]e",), ()),
+    ("bsd-2-clause", ("bsd 2 clause(?: licen[sc]e)?", "2 clause bsd", "simplified bsd licen[sc]e"), ()),
+    ("bsd-3-clause", ("bsd 3 clause(?: licen[sc]e)?", "3 clause bsd", "(?:new|modified) bsd licen[sc]e"), ()),
+    ("bsd-4-clause", ("bsd 4 clause(?: licen[sc]e)?", "4 clause bsd", "original bsd licen[sc]e"), ()),
+    ("0bsd", ("0bsd", "zero clause bsd"), ()),
+    ("bsd", ("bsd licen[sc]e",), ()),
+    ("isc", ("isc licen[sc]e",), ()),
+    ("mpl", ("mozilla public licen[sc]e", "mpl"), ("1 0", "1 1", "2", "2 0")),
+    ("epl", ("eclipse public licen[sc]e", "epl"), ("1 0", "2", "2 0")),
+    ("cpl", ("common public licen[sc]e",), ("1 0",)),
+    ("cddl", ("common development and distribution licen[sc]e",), ("1 0", "1 1")),
+    ("eupl", ("european union public licen[sc]e",), ("1 0", "1 1", "1 2")),
+    ("artistic", ("artistic licen[sc]e",), ("1 0", "2 0")),
+    ("ofl", ("(?:sil )?open font licen[sc]e",), ("1 0", "1 1")),
+    ("odbl", ("open (?:data commons open )?database licen[sc]e",), ("1 0",)),
+    ("odc-by", ("open data commons attribution licen[sc]e",), ("1 0",)),
+    ("pddl", ("public domain dedication and licen[sc]e",), ("1 0",)),
+    ("cecill", ("cecill(?: licen[sc]e)?",), ("1 0", "2 0", "2 1")),
+    ("zlib", ("zlib(?: libpng)? licen[sc]e",), ()),
+    ("boost", ("boost software licen[sc]e",), ("1 0",)),
+    ("unlicense", ("unlicense",), ()),
+    ("wtfpl", ("wtfpl",), ()),
+    ("ms-pl", ("microsoft public licen[sc]e", "ms pl"), ()),
+    ("ms-rl", ("microsoft reciprocal licen[sc]e", "ms rl"), ()),
+    ("ncsa", ("university of illinois ncsa open source licen[sc]e",), ()),
+    ("postgresql", ("postgresql licen[sc]e",), ()),
+    ("python", ("python software foundation licen[sc]e", "psf licen[sc]e"), ("2", "2 0")),
+    ("php", ("php licen[sc]e",), ("3 0", "3 01")),
+    ("openssl", ("openssl licen[sc]e",), ()),
+    ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
+    ("proprietary", ("proprietary(?: and confidential)?",), ()),
+)
+#: SPDX short ids that are no names above: label, id, versions, and whether the id with a
+#: version says enough alone. The others are also words, so they count behind a prefix
+#: that speaks of a licence, as all ids without a version do.
+SHORT = (
+    ("mit", "mit", (), False),
+    ("expat", "expat", (), False),
+    ("x11", "x11", (), False),
+    ("isc", "isc", (), False),
+    ("zlib", "zlib", (), False),
+    ("ncsa", "ncsa", (), False),
+    ("postgresql", "postgresql", (), False),
+    ("openssl", "openssl", (), False),
+    ("php", "php", ("3 0", "3 01"), False),
+    ("python", "python", ("2 0",), False),
+    ("python", "psf", ("2 0",), True),
+    ("boost", "bsl", ("1 0",), True),
+    ("cpl", "cpl", ("1 0",), True),
+    ("cddl", "cddl", ("1 0", "1 1"), True),
+    ("eupl", "eupl", ("1 0", "1 1", "1 2"), True),
+    ("artistic", "artistic", ("1 0", "2 0"), True),
+    ("ofl", "ofl", ("1 0", "1 1"), True),
+    ("odbl", "odbl", ("1 0",), True),
+    ("odc-by", "odc by", ("1 0",), True),
+    ("pddl", "pddl", ("1 0",), True),
 )
 #: What may follow "cc by" or "creative commons attribution", and the versions.
 CC_PARTS = {
@@ -73,7 +98,8 @@ CC_PARTS = {
 }
 CC_KINDS = ((), ("-sa",), ("-nd",), ("-nc",), ("-nc", "-sa"), ("-nc", "-nd"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: What may stand before a name, and the priority that it gives.
+#: What may stand before a name, and the priority that it gives. The first two speak of
+#: a licence.
 FORMS = (
     ("spdx licen[sc]e identifier ", 90),
     ("licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", 80),
@@ -88,30 +114,46 @@ SINGLE = (
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 20),
 )
 #: A text without any of these cannot match a rule; what they are is part of the rules.
+#: A space in front is that before a rule's first word.
 GATES = (
     "licen", "gpl", "mpl", "epl", "gfdl", "bsd", "apache", "cc by", "cc0", "creative commons",
     "spdx", "public domain", "rights reserved", "copyright", "proprietary", "wtfpl", "cecill",
+    " ms pl", " ms rl", " psf", " bsl", " cpl", " cddl", " eupl", " artistic", " ofl", " odbl", " odc by", " pddl",
 )
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _keyword(name: str) -> str:
+    """The longest literal that is in all that ``name`` matches: what is left between its
+    groups and character classes. Names have no bars or quantifiers outside of groups."""
+    return max(re.split(r"\(\?:[^()]*\)\??|\[[^]]*\]", name), key=len)
+
+
+def _with_version(name: str, version: str) -> str:
+    """``name`` with "2", "v2", "v 2", "version 2" or "ver 2" behind it, the "v2" also
+    without the space; behind an abbreviation like "gpl" the "2" too."""
+    joined = "v?" if name.endswith("pl") else "v"
+    return rf"{name}(?: (?:v ?|version |ver )?|{joined}){version}(?: or later| only)?"
+
+
+def _label(label: str, version: str) -> str:
+    return f"{label}-{version.replace(' ', '.')}" if " " in version else f"{label}-{version}.0"
+
+
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, regular expression, priority) of every rule, in order.
 
     An expression begins with the space before its first word and looks ahead to the one
-    after its last, so that matches lie on whole words.
+    after its last, so that matches lie on whole words. Each name is a rule of its own,
+    and its keyword a literal part of it: what the expression matches has the keyword.
     """
     named = []
-    for label, key, names, versions in FAMILIES:
-        # A single letter stands for the gates of the names themselves.
-        keys = {"g": "g", "l": "l", "a": "a", "m": "m", "e": "e"}.get(key, key)
-        name = f"(?:{'|'.join(names)})"
-        named.append((label, keys, name, 0))
-        for v in versions:
-            of = f"{label}-{v.replace(' ', '.')}" if " " in v else f"{label}-{v}.0"
-            named.append((of, keys, rf"{name} (?:v|version )?{v}(?: or later| only)?", VERSIONED))
+    for label, names, versions in FAMILIES:
+        for name in names:
+            named.append((label, _keyword(name), name, 0))
+            named += [(_label(label, v), _keyword(name), _with_version(name, v), VERSIONED) for v in versions]
     for kind in CC_KINDS:
         label = "cc-by" + "".join(kind)
         parts = "".join(CC_PARTS[k] for k in kind)
@@ -120,10 +162,14 @@ def rules() -> list[tuple[str, str, str, int]]:
             for v in CC_VERSIONS:
                 name = rf"{start}{parts}(?: licen[sc]e| international| unported)? {v}(?: international| unported)?"
                 named.append((f"{label}-{v.replace(' ', '.')}", key, name, VERSIONED))
+    guarded = []
+    for label, name, versions, alone in SHORT:
+        guarded.append((label, name, name, 0))
+        (named if alone else guarded).extend((_label(label, v), name, _with_version(name, v), VERSIONED) for v in versions)
     out = [
         (label, key, rf" {before}{name}(?= )", priority + more)
-        for before, priority in FORMS
-        for label, key, name, more in named
+        for i, (before, priority) in enumerate(FORMS)
+        for label, key, name, more in (named + guarded if i < 2 else named)
     ]
     return out + [(label, key, rf" {name}(?= )", p) for label, key, name, p in SINGLE]
 

@@ -86,3 +86,69 @@ def test_no_python_in_the_plan(spark, odd_docs, no_docs):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
     assert found.count() == 10 and L.with_licenses(no_docs).count() == 0
+
+
+def matches_of(pattern):
+    """Strings that a rule's pattern matches: each alternative, each option with and without."""
+    def ways(node):
+        kind, arg = str(node[0]), node[1]
+        if kind == "LITERAL":
+            return [chr(arg)]
+        if kind == "IN":
+            # Letters of a class, or one digit.
+            return [chr(x[1]) for x in arg if str(x[0]) == "LITERAL"] or ["7"]
+        if kind == "BRANCH":
+            return [w for part in arg[1] for w in several(part)]
+        if kind == "SUBPATTERN":
+            return several(arg[3])
+        if kind == "MAX_REPEAT":
+            assert tuple(arg[:2]) == (0, 1)
+            return ["", *several(arg[2])]
+        assert kind == "ASSERT"
+        return [" "]
+
+    def several(nodes):
+        out = [""]
+        for node in nodes:
+            out = [a + b for a in out for b in ways(node)]
+        return out
+
+    return several(re._parser.parse(pattern))
+
+
+def test_what_a_rule_matches_has_its_keyword_and_a_gate():
+    for label, key, pattern, _ in L.rules():
+        for text in matches_of(pattern):
+            assert re.search(pattern, text)
+            assert key in text, (label, key, text)
+            assert any(gate in text for gate in L.GATES), (label, text)
+
+
+# What each text must be labelled; the others are words that are no licence.
+FOUND = {
+    "GFDL 1.3": "gfdl-1.3",
+    "gfdl": "gfdl",
+    "the zlib/libpng License": "zlib",
+    "PSF License": "python",
+    "PSF license version 2": "python-2.0",
+    "PSF-2.0": "python-2.0",
+    "GPLv2": "gpl-2.0",
+    "GPL2 and gpl v. 3": "gpl-2.0,gpl-3.0",
+    "LGPLv2.1+": "lgpl-2.1",
+    "AGPLv3, MPLv2.0": "agpl-3.0,mpl-2.0",
+    "SPDX-License-Identifier: MIT": "mit",
+    "SPDX-License-Identifier: ISC": "isc",
+    "SPDX-License-Identifier: Python-2.0": "python-2.0",
+    "licensed under the MIT": "mit",
+    "BSL-1.0 OFL-1.1 ODbL-1.0 CDDL-1.0": "boost-1.0,cddl-1.0,odbl-1.0,ofl-1.1",
+    "MS-PL, Artistic-2.0": "artistic-2.0,ms-pl",
+    "MIT, an isc meeting, python 2.0, php 3.0, apache2 and the zlib": "",
+}
+
+
+def test_names_without_a_common_keyword_and_short_forms(spark):
+    texts = list(FOUND)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.with_licenses(docs).collect():
+        assert ",".join(sorted({d.label for d in r.detections})) == FOUND[texts[r.doc_id]], texts[r.doc_id]
+        assert [tuple(x) for x in r.detections] == brute(texts[r.doc_id], L.rules())[2]
