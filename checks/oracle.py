@@ -848,6 +848,9 @@ def _oracles() -> dict[str, str]:
     row_out = rounded("drawn", ["effort"], "obs_seq, location, draw")
     o["i2_impute_zero_rows"] = sql(modes(), row_counts, row_out + " WHERE is_zero")
     o["i3_impute_positive_rows"] = sql(modes(), row_counts, row_out + " WHERE NOT is_zero")
+    row_counts = counts(ROWS, "par1", row_keys, N_DRAWS)
+    o["i2_impute_zero_rows_all_draws"] = sql(modes(), row_counts, row_out + " WHERE is_zero")
+    o["i3_impute_positive_rows_all_draws"] = sql(modes(), row_counts, row_out + " WHERE NOT is_zero")
     gdraws = counts("grp", "par1", GRP_KEYS, N_DRAWS)
     o["i4_effort_draws"] = sql(modes(), IMPUTE, gdraws, rounded("ddraws", three, "draw, " + day))
     o["i4_effort_draws_with_parameters"] = sql(
@@ -940,6 +943,11 @@ def _oracles() -> dict[str, str]:
         f"FROM (SELECT {sensor}, chain, avg(value) AS cm, var_samp(value) AS cv, count(*) AS n "
         f"FROM long3 GROUP BY {sensor}, chain) GROUP BY {sensor}) USING ({sensor})",
     )
+    whole = (
+        "(SELECT chain, draw, site_id, location, unnest(['d', 'L', 'a']) AS param, "
+        f"unnest([d, L, a]) AS value FROM {PAIR_DRAWS})"
+    )
+    o["q2_posterior_summary_all_draws"] = o["q2_posterior_summary"].replace(LONG3, whole)
     natural = [
         ("1 / (1 + exp(-d))", "p_false_zero"), ("exp(L)", "false_zero_mean_weekday"),
         ("exp(L + L_cov)", "false_zero_mean_weekend"), ("exp(a)", "multiplier_weekday"),
@@ -958,6 +966,18 @@ def _oracles() -> dict[str, str]:
         ),
         rounded("dens", ["x", "density"], sensor + ", i", 4),
     )
+    # Each quantity as a share of the end of its grid, which scales the density back.
+    ends = (1.0, 10.0, 10.0, 5.0, 5.0)
+    shares = ", ".join(f"({x}) / {end!r}::DOUBLE" for (x, _), end in zip(natural, ends))
+    o["q4_density_grid_quantities"] = sql(
+        modes(),
+        density(
+            f"SELECT site_id, location, draw, unnest({[n for _, n in natural]}) AS param, "
+            f"unnest([{', '.join(f'{end!r}::DOUBLE' for end in ends)}]) AS top, "
+            f"unnest([{shares}]) AS value FROM {PAIR_DRAWS}", sensor + ", top", 1.0,
+        ),
+        rounded("(SELECT * REPLACE (x * top AS x, density / top AS density) FROM dens)", ["x", "density"], sensor + ", i", 4),
+    )
     quantities = []
     for param, variant, effect, end in (
         ("p_false_zero", "d", "theta", 1.0), ("false_zero_mean_weekday", "L_wk", "theta", 10.0),

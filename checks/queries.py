@@ -25,7 +25,8 @@ from sensorfill.sources import stages, star_schema, text
 EXCLUDED = ("NATION_7", "NATION_9")
 SETTINGS = E.Settings(excluded=EXCLUDED)
 SEASON = (2010, 6)
-N_DRAWS = 8
+#: As many as the reference makes.
+N_DRAWS = 1000
 SEED = 7
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,12 +604,12 @@ def i1_expected_effort_by_row(spark, sf):
     return rounded(expected.select("obs_seq", "location", "effort", "effort_var"))
 
 
-def _row_draws(spark, sf, part):
+def _row_draws(spark, sf, part, n=3):
     rows, _, _, _, found = everything(spark, sf)
     cams = rows.cameras
     rows = C.sensors_per_slot(kept_rows(cams, E.kept_seasons(cams, SETTINGS)))
     params = materialize(M.sensor_params(found, 1))
-    drawn = part(rows, params, n_draws=3, seed=SEED)
+    drawn = part(rows, params, n_draws=n, seed=SEED)
     return rounded(drawn.select("obs_seq", "location", "draw", "effort"))
 
 
@@ -620,6 +621,14 @@ def i3_impute_positive_rows(spark, sf):
     return _row_draws(spark, sf, I.impute_positive_rows)
 
 
+def i2_impute_zero_rows_all_draws(spark, sf):
+    return _row_draws(spark, sf, I.impute_zero_rows, N_DRAWS)
+
+
+def i3_impute_positive_rows_all_draws(spark, sf):
+    return _row_draws(spark, sf, I.impute_positive_rows, N_DRAWS)
+
+
 def i4_effort_draws(spark, sf):
     _, _, groups, params, _ = expected_daily(spark, sf)
     return rounded(I.effort_draws(groups, params, N_DRAWS, SEED))
@@ -738,6 +747,11 @@ def q2_posterior_summary(spark, sf):
     return rounded(Q.posterior_summary(draws, ["param", *S.SENSOR]))
 
 
+def q2_posterior_summary_all_draws(spark, sf):
+    draws = Q.long_draws(_draws(spark, sf), ["d", "L", "a"])
+    return rounded(Q.posterior_summary(draws, ["param", *S.SENSOR]))
+
+
 def q3_back_transform(spark, sf):
     return rounded(Q.back_transform(_draws(spark, sf)))
 
@@ -748,6 +762,16 @@ def q4_density_grid(spark, sf):
     return rounded(Q.density_grid(draws, Q.GRID_ENDS[name]), 4)
 
 
+def q4_density_grid_quantities(spark, sf):
+    """All reported quantities, each on its own grid."""
+    draws = materialize(Q.long_draws(Q.back_transform(_draws(spark, sf)), list(Q.GRID_ENDS)))
+    out = None
+    for name, end in Q.GRID_ENDS.items():
+        one = Q.density_grid(draws.filter(F.col("param") == name), end)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 4)
+
+
 def q4_density_grid_new_sensor(spark, sf):
     found = M.new_sensor_effects(M.start_hyper(effects(spark, sf)))
     return rounded(Q.new_sensor_density(found), 4)
