@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sensorfill.llm.codes import OP11_SQL, op11_vector_codes
 from sensorfill.llm.decontaminate import op6_decontaminate
+from sensorfill.llm.language import op12_language
 from sensorfill.llm.licenses import op9_licenses
 from sensorfill.llm.lines import OP5_SQL, op5_line_dedup
 from sensorfill.llm.mixing import OP8_SQL, op8_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_language": op12_language,
     "op13_whitening": op13_whitening,
 }
 
