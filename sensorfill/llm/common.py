@@ -1,8 +1,9 @@
 """What several operators share: stored tables, word splitting in numpy, offsets.
 
-Words are found on the raw UTF-8 bytes of a whole Arrow batch at once. A word's hash
-is a polynomial in its bytes, taken from one running sum over the batch, so no word
-becomes a Python object.
+Words are found on the raw UTF-8 bytes of a whole Arrow batch at once and hashed eight
+bytes a step, all words together, so hardly a word becomes a Python object. A word's hash
+is no polynomial in its bytes: those modulo 2^64 agree on words that are easily made. A
+sequence of words has a polynomial in the hashes of its words, from one running sum.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sensorfill.operators.scale import BROADCAST_BYTES, use_checkpoint_dir
 
 #: Bytes of text that one vectorised step works on; longer batches are cut.
 CHUNK_BYTES = 4 << 20
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -91,8 +96,7 @@ class Hasher:
         base = (int(_BASE) * (2 * seed + 1)) % (1 << 64) | 1
         self.base, self.inverse = np.uint64(base), _inverse(np.uint64(base))
         self.up = self.down = np.ones(1, dtype=np.uint64)
-        rng = np.random.default_rng(seed)
-        self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.seed = seed
 
     def _grow(self, n: int) -> None:
         if len(self.up) <= n:
@@ -108,6 +112,29 @@ class Hasher:
         return mix((total[end] - total[start]) * self.down[start] + length)
 
 
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One hash for each word ``data[start:end]`` of bytes; equal words have equal hashes."""
+        length = end - start
+        with np.errstate(over="ignore"):
+            h = mix(length.astype(np.uint64) * _BASE + np.uint64(self.seed))
+        if not len(h):
+            return h
+        # The eight bytes from each place on, as one number.
+        padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+        eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        long = length > LONG_WORD
+        rows, at, left = np.flatnonzero(~long), start[~long], length[~long]
+        while len(rows):
+            unused = (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+            block = (eight[at] << unused) >> unused
+            h[rows] = mix((h[rows] ^ block) * _BASE + np.uint64(self.seed))
+            more = left > 8
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(long):
+            h[i] = xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), self.seed)
+        return h
+
+
 class Words:
     """The words of some texts: where each starts and ends, its text, its hash."""
 
@@ -129,7 +156,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         #: Words of text i are ``first_word[i] : first_word[i + 1]``.
         self.first_word = np.searchsorted(self.start, bounds)
-        self.hash = hasher.stretches(hasher.byte[as_read[data]], self.start, self.end)
+        self.hash = hasher.words(as_read[data], self.start, self.end)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES):
