@@ -525,7 +525,7 @@ edraws AS (
   SELECT *, theta + sqrt(theta_var) * z1 AS t,
          CASE WHEN contains(variant, '_') THEN beta + cov / sqrt(theta_var) * z1
            + sqrt(greatest(beta_var - cov * cov / theta_var, 0)) * z2 ELSE 0 END AS b
-  FROM ({with_normals("(SELECT m.*, t.draw::INTEGER AS draw FROM modes m, range(1, 41) t(draw))", ["variant", "site_id", "location", "draw"])})),
+  FROM ({with_normals(f"(SELECT m.*, t.draw::INTEGER AS draw FROM modes m, range(1, {N_DRAWS + 1}) t(draw))", ["variant", "site_id", "location", "draw"])})),
 dev AS (
   SELECT variant, draw, -2 * sum(
     CASE WHEN variant[1] = 'd' THEN hits_0 * t - size_0 * ln(1 + exp(t))
@@ -814,7 +814,7 @@ def _oracles() -> dict[str, str]:
     o["m5_draw_parameters"] = sql(modes(), rounded(PAIR_DRAWS, six, who))
     o["m6_thin_draws"] = sql(
         modes(),
-        rounded(param_draws("par1", 20), six, who) + " WHERE draw > 6 AND (draw - 6) % 2 = 0",
+        rounded(param_draws("par1", N_DRAWS), six, who) + " WHERE draw > 6 AND (draw - 6) % 2 = 0",
     )
     o["m7_model_dic"] = sql(modes(), DIC, dic_out)
     new_cols = (

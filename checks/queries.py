@@ -17,17 +17,18 @@ from sensorfill.operators import (
     pairing as R,
     posterior as Q,
     prepare as P,
+    vectors as V,
 )
 from sensorfill.operators.scale import materialize, use_checkpoint_dir
 from sensorfill.plans import effort as E
 from sensorfill.sources import stages, star_schema, text
 
 EXCLUDED = ("NATION_7", "NATION_9")
-SETTINGS = E.Settings(excluded=EXCLUDED)
 SEASON = (2010, 6)
 #: As many as the reference makes.
 N_DRAWS = 1000
 SEED = 7
+SETTINGS = E.Settings(excluded=EXCLUDED, n_draws=N_DRAWS)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -549,13 +550,13 @@ def m5_draw_parameters(spark, sf):
 
 
 def m6_thin_draws(spark, sf):
-    draws = M.draw_parameters(M.sensor_params(modes(spark, sf), 1), 20, SEED)
+    draws = M.draw_parameters(M.sensor_params(modes(spark, sf), 1), N_DRAWS, SEED)
     return rounded(M.thin_draws(draws, burn=6, thin=2))
 
 
 def _dic(spark, sf):
     _, both, table, _, found = everything(spark, sf)
-    draws = M.draw_effects(found, 40, SEED)
+    draws = M.draw_effects(found, N_DRAWS, SEED)
     constant = M.log_constants(both, R.true_zero_counts(both))
     return M.model_dic(M.variant_deviance(draws, table), constant)
 
@@ -629,20 +630,23 @@ def i3_impute_positive_rows_all_draws(spark, sf):
     return _row_draws(spark, sf, I.impute_positive_rows, N_DRAWS)
 
 
+def _day_vectors(groups, params):
+    return V.effort_vectors(groups, params, N_DRAWS, SEED)
+
+
 def i4_effort_draws(spark, sf):
     _, _, groups, params, _ = expected_daily(spark, sf)
-    return rounded(I.effort_draws(groups, params, N_DRAWS, SEED))
+    return rounded(E.effort_draws(_day_vectors(groups, V.fixed_params(params)), SETTINGS))
 
 
 def i4_effort_draws_with_parameters(spark, sf):
     _, _, groups, params, _ = expected_daily(spark, sf)
-    drawn = M.draw_parameters(params, N_DRAWS, SEED)
-    return rounded(I.effort_draws(groups, drawn, None, SEED))
+    return rounded(E.effort_draws(_day_vectors(groups, V.param_vectors(params, N_DRAWS, SEED)), SETTINGS))
 
 
 def i5_effort_intervals(spark, sf):
     _, _, groups, params, _ = expected_daily(spark, sf)
-    return rounded(I.effort_intervals(I.effort_draws(groups, params, N_DRAWS, SEED)))
+    return rounded(E.effort_intervals(_day_vectors(groups, V.fixed_params(params))))
 
 
 def i6_effort_annual(spark, sf):
@@ -652,8 +656,8 @@ def i6_effort_annual(spark, sf):
 
 def i6_effort_annual_draws(spark, sf):
     found, _, groups, params, _ = expected_daily(spark, sf)
-    draws = materialize(I.effort_draws(groups, params, N_DRAWS, SEED))
-    return rounded(E.annual_draws(draws, found, SETTINGS))
+    days = _day_vectors(groups, V.fixed_params(params))
+    return rounded(E.annual_draws(days, found, SETTINGS))
 
 
 def i6_effort_annual_fitted(spark, sf):

@@ -7,8 +7,11 @@ SQL engine has it; one digest feeds both lanes.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +35,29 @@ def normal_pair(u1: Column, u2: Column) -> tuple[Column, Column]:
     return radius * F.cos(2.0 * math.pi * u2), radius * F.sin(2.0 * math.pi * u2)
 
 
+def key_uniforms(seed: int, key: Sequence[object], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both lanes of ``uniform`` of the digests of a key and 1 to ``n``, in numpy."""
+    start = hashlib.md5("|".join([str(seed), *map(str, key), ""]).encode())
+    digests = bytearray()
+    for i in range(1, n + 1):
+        one = start.copy()
+        one.update(b"%d" % i)
+        digests += one.digest()
+    b = np.frombuffer(bytes(digests), dtype=np.uint8).reshape(n, 16).astype(np.int64)
+    # Thirteen half bytes a lane.
+    first, second = b[:, 6] >> 4, b[:, 6] & 15
+    high = sum(b[:, i] << (8 * (5 - i) + 4) for i in range(6))
+    low = sum(b[:, i] << (8 * (12 - i)) for i in range(7, 13))
+    return tuple((x + 0.5) / float(1 << 52) for x in (high + first, (second << 48) + low))
+
+
 def thinned_poisson():
-    """Pandas UDF ``(trials, p, mean, u1, u2) -> count``.
+    """Pandas UDF of ``thinned_poisson_counts``."""
+    return F.pandas_udf(thinned_poisson_counts(), "bigint")
+
+
+def thinned_poisson_counts():
+    """Function ``(trials, p, mean, u1, u2) -> count`` of arrays.
 
     ``B`` is the binomial quantile of (trials, p) at ``u1``; the result is the
     Poisson quantile of ``mean * B`` at ``u2``. With p = 1 and one trial it is a
@@ -172,4 +196,4 @@ def thinned_poisson():
         out[known] = poisson(m * binomial(n, q, v1), v2).astype("int64")
         return out
 
-    return F.pandas_udf(count, "bigint")
+    return count

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorfill import schema as S
-from sensorfill.operators import coverage, gapfill, impute, model, pairing, prepare
+from sensorfill.operators import coverage, gapfill, impute, model, pairing, prepare, vectors
 from sensorfill.operators.scale import materialize
 
 
@@ -182,17 +182,17 @@ def estimate_effort(
     groups = impute.effort_groups(seasons.hours)
     expected = impute.expected_effort(groups, params, settings.p_seen_mode)
     daily = materialize(impute.sum_effort_daily(expected))
-    given, n_draws = params, settings.n_draws
+    given = vectors.fixed_params(params)
     if settings.vary_parameters:
-        given, n_draws = model.draw_parameters(params, settings.n_draws, settings.seed), None
-    draws = impute.effort_draws(groups, given, n_draws, settings.seed, settings.p_seen_mode)
+        given = vectors.param_vectors(params, settings.n_draws, settings.seed)
+    days = vectors.effort_vectors(groups, given, settings.n_draws, settings.seed, settings.p_seen_mode)
     out.update(
         params=params,
         daily=daily,
         annual=fill_gaps(daily, seasons, settings),
-        draws=draws,
-        intervals=impute.effort_intervals(draws),
-        annual_draws=annual_draws(draws, seasons, settings),
+        draws=effort_draws(days, settings),
+        intervals=effort_intervals(days),
+        annual_draws=annual_draws(days, seasons, settings),
     )
     if validation is not None:
         rows = impute.as_groups(impute.holdout_rows(validation))
@@ -202,14 +202,21 @@ def estimate_effort(
     return out
 
 
+def effort_draws(days: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Daily effort, one row per draw, from its vectors."""
+    names = ("zero_effort", "pos_effort", "effort")
+    return vectors.long_vectors(days, names, S.SEASON_DAY, settings.n_draws)
+
+
+def effort_intervals(days: DataFrame) -> DataFrame:
+    """Mean, sd and quantiles over the draws of each day's vector."""
+    quantiles = {"low": 0.025, "median": 0.5, "high": 0.975}
+    return vectors.vector_summary(days, "effort", S.SEASON_DAY, quantiles)
+
+
 def annual_draws(
-    draws: DataFrame, seasons: Seasons, settings: Settings = Settings()
+    days: DataFrame, seasons: Seasons, settings: Settings = Settings()
 ) -> DataFrame:
-    """Mean, sd and quantiles of the yearly effort over draws of the daily effort."""
-    yearly = fill_gaps(draws, seasons, settings, ["draw"])
-    return yearly.groupBy(*S.SEASON).agg(
-        F.avg("effort").alias("mean"),
-        F.stddev_samp("effort").alias("sd"),
-        F.percentile("effort", F.lit(0.025)).alias("low"),
-        F.percentile("effort", F.lit(0.975)).alias("high"),
-    )
+    """Mean, sd and quantiles of the yearly effort over the draws of the daily effort."""
+    yearly = vectors.annual_vectors(days, *given_days(seasons, settings), settings.n_draws)
+    return vectors.vector_summary(yearly, "effort", S.SEASON, {"low": 0.025, "high": 0.975})
