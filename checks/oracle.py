@@ -7,8 +7,11 @@ the ones a statement uses, and a final SELECT.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
-from checks.queries import N_DRAWS, SEED
+import numpy as np
+
+from checks.queries import N_DRAWS, NODES, SEED
 
 RAW = """
 site_src AS (
@@ -278,51 +281,159 @@ modes{s} AS MATERIALIZED (
 {", ".join(wide)}"""
 
 
-def grid_fit(levels: int = 13, points: int = 6, steps: int = 9) -> str:
-    """Maximum of the Laplace marginal of d, L and a, by a grid that narrows.
-
-    CTEs ending in ``best(variant, m, lp, total)``; a search of another kind than
-    the one it checks.
-    """
-    mean = "CASE WHEN variant = 'd' THEN size_0 / (1 + exp(-t)) ELSE size_0 * exp(t) END"
-    curve = (
-        "CASE WHEN variant = 'd' THEN size_0 / (1 + exp(-t)) / (1 + exp(t)) "
-        "ELSE size_0 * exp(t) END"
-    )
-    loglik = (
-        "CASE WHEN variant = 'd' THEN hits_0 * t - size_0 * (greatest(t, 0) + ln(1 + exp(-abs(t)))) "
-        "ELSE hits_0 * t - size_0 * exp(t) END"
-    )
-    ctes = """
+MEAN = "CASE WHEN variant = 'd' THEN size_0 / (1 + exp(-t)) ELSE size_0 * exp(t) END"
+CURVE = (
+    "CASE WHEN variant = 'd' THEN size_0 / (1 + exp(-t)) / (1 + exp(t)) "
+    "ELSE size_0 * exp(t) END"
+)
+#: One term of the log-likelihood that is not linear, at ``{}``.
+BEND = (
+    "(CASE WHEN variant = 'd' THEN greatest({0}, 0) + ln(1 + exp(-abs({0}))) ELSE exp({0}) END)"
+)
+LOGLIK = f"hits_0 * t - size_0 * {BEND.format('t')}"
+START = """
 f AS MATERIALIZED (
-  SELECT variant, hits_0, size_0, coalesce(g.theta, 0) AS t
-  FROM eft e JOIN plug g USING (variant, site_id, location) WHERE variant IN ('d', 'L', 'a')),
-z0 AS MATERIALIZED (
-  SELECT DISTINCT variant, 0.0::DOUBLE AS m, 2.0::DOUBLE AS lp, 0.0::DOUBLE AS total FROM f)"""
-    for level in range(levels):
-        wm, wp = 3.0 * 0.4**level / points, 6.0 * 0.4**level / points
-        ctes += f""",
-s{level}_0 AS MATERIALIZED (
-  SELECT f.*, z.m + i * {wm!r}::DOUBLE AS m, z.lp + j * {wp!r}::DOUBLE AS lp,
-         exp(z.lp + j * {wp!r}::DOUBLE) AS p
-  FROM f JOIN z{level} z USING (variant), range({-points}, {points + 1}) a(i),
-       range({-points}, {points + 1}) b(j))"""
-        for k in range(steps):
-            ctes += f""",
-s{level}_{k + 1} AS MATERIALIZED (
-  SELECT variant, hits_0, size_0, m, lp, p,
-         t + greatest(-2, least(2, (hits_0 - mu - p * (t - m)) / (cu + p))) AS t
-  FROM (SELECT *, {mean} AS mu, {curve} AS cu FROM s{level}_{k}))"""
+  SELECT variant, site_id, location, hits_0, size_0, coalesce(g.theta, 0) AS t
+  FROM eft e JOIN plug g USING (variant, site_id, location) WHERE variant IN ('d', 'L', 'a'))"""
+
+
+def quadrature(n: int) -> str:
+    """Log of a sensor's integral by Gauss-Hermite quadrature, less Laplace's value."""
+    x, w = np.polynomial.hermite.hermgauss(n)
+    nodes = ", ".join(
+        f"{{'x': {float(a)!r}::DOUBLE, 'w': {float(b * math.exp(a * a) / math.sqrt(math.pi))!r}::DOUBLE}}"
+        for a, b in zip(x, w)
+    )
+    move = f"(z.x * sqrt(2.0::DOUBLE / ({CURVE} + p)))"
+    gain = (
+        f"hits_0 * {move} - size_0 * ({BEND.format(f'(t + {move})')} - {BEND.format('t')}) "
+        f"- p * {move} * (t - m + 0.5 * {move})"
+    )
+    return f"ln(list_sum(list_transform([{nodes}], lambda z: z.w * exp({gain}))))"
+
+
+def marginal_at(name: str, points: str, steps: int, more: str = "0") -> str:
+    """CTEs ``{name}_i`` of Newton steps at the points (variant, k, m, lp), and
+    ``{name}(variant, k, m, lp, total)``: the log marginal posterior there."""
+    ctes = f"""
+{name}_0 AS MATERIALIZED (
+  SELECT f.*, q.k, q.m, q.lp, exp(q.lp) AS p FROM f JOIN {points} q USING (variant))"""
+    for k in range(steps):
         ctes += f""",
-z{level + 1} AS MATERIALIZED (
-  SELECT variant, arg_max(m, total) AS m, arg_max(lp, total) AS lp, max(total) AS total FROM (
-    SELECT variant, m, lp, sum({loglik} + 0.5 * ln(p) - 0.5 * p * (t - m) ** 2
-             - 0.5 * ln({curve} + p))
+{name}_{k + 1} AS MATERIALIZED (
+  SELECT * EXCLUDE (mu, cu) REPLACE (t + greatest(-2, least(2, (hits_0 - mu - p * (t - m)) / (cu + p))) AS t)
+  FROM (SELECT *, {MEAN} AS mu, {CURVE} AS cu FROM {name}_{k}))"""
+    return ctes + f""",
+{name} AS MATERIALIZED (
+  SELECT variant, k, m, lp, sum({LOGLIK} + 0.5 * ln(p) - 0.5 * p * (t - m) ** 2
+             - 0.5 * ln({CURVE} + p) + {more})
            - 0.5 * (m / 2.0) ** 2 - ln(2.0) - {LN2PI!r}
            + ({SHAPE} - 1) * lp - exp(lp) / {SCALE} - ({GAMMA_CONST!r}) AS total
-    FROM s{level}_{steps} GROUP BY variant, m, lp)
-  GROUP BY variant)"""
-    return ctes + f", best AS (SELECT * FROM z{levels})"
+  FROM {name}_{steps} GROUP BY variant, k, m, lp)"""
+
+
+def grid_fit(levels: int = 13, points: int = 6, steps: int = 9, more: str = "0", s: str = "") -> str:
+    """Maximum of the marginal of d, L and a, by a grid that narrows; by Laplace's method
+    or with a correction ``more`` for each sensor.
+
+    CTEs ending in ``best(variant, m, lp, total)``, names with a suffix; a search of
+    another kind than the one it checks.
+    """
+    ctes = "" if s else START.strip() + ",\n"
+    ctes += f"z{s}0 AS MATERIALIZED (SELECT DISTINCT variant, 0.0::DOUBLE AS m, 2.0::DOUBLE AS lp, 0.0::DOUBLE AS total FROM f)"
+    for level in range(levels):
+        wm, wp = 3.0 * 0.4**level / points, 6.0 * 0.4**level / points
+        around = (
+            f"(SELECT variant, 0 AS k, m + i * {wm!r}::DOUBLE AS m, lp + j * {wp!r}::DOUBLE AS lp "
+            f"FROM z{s}{level}, range({-points}, {points + 1}) a(i), range({-points}, {points + 1}) b(j))"
+        )
+        ctes += "," + marginal_at(f"s{s}{level}", around, steps, more) + f""",
+z{s}{level + 1} AS MATERIALIZED (
+  SELECT variant, arg_max(m, total) AS m, arg_max(lp, total) AS lp, max(total) AS total
+  FROM s{s}{level} GROUP BY variant)"""
+    return ctes + f", best{s} AS (SELECT * FROM z{s}{levels})"
+
+
+def hyper_grid() -> str:
+    """CTEs from ``best`` to ``draw_at(variant, draw, k)`` and ``ngrid_40``, the modes at
+    the weighted points."""
+    h, step = 0.1, 0.75
+    around = "(VALUES (0, 0, 0), (1, 1, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1), (5, 1, 1), (6, -1, -1)) o(k, i, j)"
+    value = {k: f"max(total) FILTER (k = {k})" for k in range(7)}
+    two = "round({0}, 1 - floor(log10(abs({0})))::INTEGER)"
+    inside = f"m BETWEEN -5 AND 5 AND lp BETWEEN {math.log(1e-4)!r} AND {math.log(1e5)!r}"
+    return f"""
+ncentre AS (SELECT variant, round(m, 2) AS m, round(lp, 2) AS lp FROM best),
+{marginal_at("nstencil", f"(SELECT variant, k, m + {h} * i AS m, lp + {h} * j AS lp FROM ncentre, {around})", 40).strip()},
+nhess AS (
+  SELECT variant, -({value[1]} - 2 * {value[0]} + {value[2]}) / {h * h!r}::DOUBLE AS a,
+         -({value[3]} - 2 * {value[0]} + {value[4]}) / {h * h!r}::DOUBLE AS c,
+         -({value[5]} + {value[6]} - {value[1]} - {value[2]} - {value[3]} - {value[4]} + 2 * {value[0]})
+           / {2 * h * h!r}::DOUBLE AS b
+  FROM nstencil GROUP BY variant),
+naxes AS (
+  SELECT variant, {two.format("x")} AS x, {two.format("y")} AS y, {two.format("z")} AS z FROM (
+    SELECT variant, sqrt(c / det) AS x, -b / det / sqrt(c / det) AS y, sqrt(a / det - b * b / det / c) AS z
+    FROM (SELECT *, a * c - b * b AS det FROM nhess))),
+npoints AS (
+  SELECT variant, row_number() OVER (PARTITION BY variant ORDER BY i, j) - 1 AS k, m, lp FROM (
+    SELECT variant, i, j, m + x * (i * {step}) AS m, lp + y * (i * {step}) + z * (j * {step}) AS lp
+    FROM ncentre JOIN naxes USING (variant), range(-4, 5) a(i), range(-4, 5) b(j) WHERE i * i + j * j <= 16)
+  WHERE {inside}),
+{marginal_at("ngrid", "npoints", 40).strip()},
+nweights AS MATERIALIZED (
+  SELECT variant, k, sum(w) OVER (PARTITION BY variant ORDER BY k) AS up_to,
+         k = max(k) OVER (PARTITION BY variant) AS last
+  FROM (SELECT variant, k, exp(total - top) / sum(exp(total - top)) OVER (PARTITION BY variant) AS w
+        FROM (SELECT *, max(total) OVER (PARTITION BY variant) AS top FROM ngrid))),
+draw_at AS MATERIALIZED (
+  SELECT u.variant, draw, count(up_to) FILTER (up_to < u AND NOT last) AS k
+  FROM (SELECT variant, t.draw::INTEGER AS draw, {uniform(digest("'hyper'", "variant", "t.draw"), 0)} AS u
+        FROM best, range(1, {N_DRAWS + 1}) t(draw)) u JOIN nweights w ON w.variant = u.variant
+  GROUP BY u.variant, draw)"""
+
+
+def mixed_draws() -> str:
+    """The CTE ``mixed``: draws of the effects of model 1 over the weighted points."""
+    rows = (
+        f"(SELECT g.variant, site_id, location, draw, t, {CURVE.replace('variant', 'g.variant')} + p AS cu "
+        "FROM ngrid_40 g JOIN draw_at a ON a.variant = g.variant AND a.k = g.k)"
+    )
+    drawn = with_normals(rows, ["variant", "site_id", "location", "draw"])
+    picks = ", ".join(f"max(t + z1 / sqrt(cu)) FILTER (variant = '{e}') AS {e}, 0.0::DOUBLE AS {e}_cov" for e in "dLa")
+    return f"mixed AS MATERIALIZED (SELECT draw, site_id, location, {picks} FROM ({drawn}) GROUP BY draw, site_id, location)"
+
+
+def exact_cdf(cells: int = 4000) -> str:
+    """CTE ``cdf(variant, site_id, location, i, x, up_to, f, slope)``: the distribution
+    function of each sensor's effect by Simpson's rule on a grid around its mode."""
+    move = "(x - theta)"
+    density = (
+        f"exp(greatest(-700, hits_0 * {move} - size_0 * ({BEND.format('x')} - {BEND.format('theta')}) "
+        f"- p * {move} * (theta - m + 0.5 * {move})))"
+    )
+    slope = f"(hits_0 - ({MEAN.replace('(t)', '(x)').replace('(-t)', '(-x)')}) - p * (x - m))"
+    reach = f"least(12 * sqrt(theta_var), 9.6 / sqrt(p) + abs(theta - m))"
+    at = f"theta - {reach} + 2 * {reach} * i / {2 * cells}"
+    return f"""
+fine AS MATERIALIZED (
+  SELECT *, {density} AS f, {slope} AS s FROM (
+    SELECT variant, site_id, location, hits_0, size_0, m, p, theta, i, {at} AS x, {reach} / {cells} AS h
+    FROM modes, range(0, {2 * cells + 1}) t(i) WHERE NOT contains(variant, '_'))),
+cells AS MATERIALIZED (
+  SELECT *, lead(f, 1) OVER w AS f1, lead(f, 2) OVER w AS f2
+  FROM fine WINDOW w AS (PARTITION BY variant, site_id, location ORDER BY i)),
+cdf AS MATERIALIZED (
+  SELECT variant, site_id, location, x, f, s, coalesce(sum(part) OVER (
+           PARTITION BY variant, site_id, location ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           / total AS up_to, total
+  FROM (SELECT *, h * (f + 4 * f1 + f2) / 3 AS part,
+               sum(h * (f + 4 * f1 + f2) / 3) OVER (PARTITION BY variant, site_id, location) AS total
+        FROM cells WHERE i % 2 = 0 AND f2 IS NOT NULL))"""
+
+
+#: From the start of a cell on: the way to the wanted share, with the density's slope.
+EXACT = "(x + (u - up_to) * total / f - 0.5 * s * ((u - up_to) * total / f) ** 2)"
 
 
 def digest(*keys: str) -> str:
@@ -922,6 +1033,43 @@ def _oracles() -> dict[str, str]:
         'WHERE usable GROUP BY "year", site_id',
     )
 
+    o["i6_effort_annual_posterior"] = sql(
+        modes(steps=1), grid_fit(levels=20), hyper_grid(), mixed_draws(), IMPUTE,
+        counts("grp", "mixed", GRP_KEYS, None), GAPS, filled("ddraws", "draw, "),
+        'SELECT "year", site_id, round(avg(effort), 4) AS mean, round(stddev_samp(effort), 4) AS '
+        "sd, round(quantile_cont(effort, 0.025), 4) AS low, "
+        'round(quantile_cont(effort, 0.975), 4) AS high FROM annual GROUP BY "year", site_id',
+    )
+    o["j8_compare_fits_hyper"] = sql(
+        modes(steps=1), grid_fit(), grid_fit(more=quadrature(NODES), s="q"),
+        " UNION ALL ".join(
+            f"SELECT variant || '.{name}' AS param, round(a.{x}, {d}) + 0.0 AS \"first\", round(b.{x}, {d}) + 0.0 AS "
+            f"\"second\", round(a.{x} - b.{x}, {d}) + 0.0 AS difference FROM best a JOIN bestq b USING (variant)"
+            for name, x, d in (("m", "m", 3), ("log_p", "lp", 2))
+        ),
+    )
+    at = ", ".join(f"({p}::DOUBLE, {NormalDist().inv_cdf(p)!r}::DOUBLE)" for p in (0.025, 0.25, 0.5, 0.75, 0.975))
+    o["m5_sensor_quantiles"] = sql(
+        modes(), exact_cdf(),
+        f"SELECT c.variant, c.site_id, c.location, u AS p, round({EXACT}, 4) + 0.0 AS exact, "
+        "round(theta + sqrt(theta_var) * z, 4) + 0.0 AS normal FROM "
+        f"(SELECT variant, site_id, location, theta, theta_var, u, z FROM modes, (VALUES {at}) q(u, z)) d "
+        "ASOF JOIN cdf c ON c.variant = d.variant AND c.site_id = d.site_id AND c.location = d.location AND d.u >= c.up_to",
+    )
+    one = " UNION ALL ".join(
+        f"SELECT '{e}' AS variant, site_id, location, t.draw::INTEGER AS draw, "
+        f"{uniform(digest(repr(e), 'site_id', 'location', 't.draw'), 0)} AS u FROM par1, range(1, {N_DRAWS + 1}) t(draw)"
+        for e in ("d", "L", "a")
+    )
+    o["m5_draw_parameters_exact"] = sql(
+        modes(), exact_cdf(),
+        "SELECT draw, site_id, location, "
+        + ", ".join(f"max(round(v, 3) + 0.0) FILTER (variant = '{e}') AS {e}" for e in ("d", "L", "a"))
+        + f" FROM (SELECT c.variant, c.site_id, c.location, draw, {EXACT} AS v FROM ({one}) d ASOF JOIN cdf c "
+        "ON c.variant = d.variant AND c.site_id = d.site_id AND c.location = d.location AND d.u >= c.up_to) "
+        "GROUP BY draw, site_id, location",
+    )
+
     # posterior summaries
     o["q1_posterior_means"] = sql(
         modes(),

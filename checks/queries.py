@@ -14,6 +14,7 @@ from sensorfill.operators import (
     gapfill as G,
     impute as I,
     model as M,
+    nested as N,
     pairing as R,
     posterior as Q,
     prepare as P,
@@ -28,6 +29,8 @@ SEASON = (2010, 6)
 #: As many as the reference makes.
 N_DRAWS = 1000
 SEED = 7
+#: Nodes of the quadrature over a sensor's effect.
+NODES = 25
 SETTINGS = E.Settings(excluded=EXCLUDED, n_draws=N_DRAWS)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,6 +313,20 @@ def j8_compare_fits(spark, sf):
     return rounded(Q.compare_fits(first, second, keys))
 
 
+def j8_compare_fits_hyper(spark, sf):
+    """The fit by Laplace's method beside that by quadrature."""
+    table = effects(spark, sf)
+    first, second = (
+        M.hyper_estimates(M.fit_hierarchical(table, ["d", "L", "a"], nodes=n)) for n in (0, NODES)
+    )
+    both = Q.compare_fits(first, second)
+    digits = [
+        F.when(F.col("param").endswith(".m"), F.round(c, 3)).otherwise(F.round(c, 2)) + 0.0
+        for c in ("first", "second", "difference")
+    ]
+    return both.select("param", *[d.alias(c) for d, c in zip(digits, ("first", "second", "difference"))])
+
+
 # --- aggregations -----------------------------------------------------------------
 
 
@@ -549,6 +566,16 @@ def m5_draw_parameters(spark, sf):
     return rounded(M.draw_parameters(params, N_DRAWS, SEED))
 
 
+def m5_sensor_quantiles(spark, sf):
+    """Quantiles of the exact posteriors, which few pairs leave skewed."""
+    return rounded(N.sensor_quantiles(modes(spark, sf)), 4)
+
+
+def m5_draw_parameters_exact(spark, sf):
+    drawn = N.exact_vectors(modes(spark, sf), 1, N_DRAWS, SEED)
+    return rounded(V.long_vectors(drawn, ("d", "L", "a"), S.SENSOR, N_DRAWS), 3)
+
+
 def m6_thin_draws(spark, sf):
     draws = M.draw_parameters(M.sensor_params(modes(spark, sf), 1), N_DRAWS, SEED)
     return rounded(M.thin_draws(draws, burn=6, thin=2))
@@ -666,6 +693,18 @@ def i6_effort_annual_fitted(spark, sf):
     return rounded(found["annual"], 0)
 
 
+def i6_effort_annual_posterior(spark, sf):
+    """Yearly effort over draws of the hyperparameters, the effects and the counts."""
+    rows = inputs(spark, sf)
+    both = R.matched_pairs(rows.ground, rows.camera_copies)
+    table = E.calibration_effects(both, rows.camera_copies)
+    grid = materialize(N.hyper_grid(table, M.fit_hierarchical(table, ["d", "L", "a"])))
+    found = E.kept_seasons(rows.cameras, SETTINGS)
+    params = N.mixed_vectors(table, grid, 1, N_DRAWS, SEED)
+    days = _day_vectors(I.effort_groups(found.hours), params)
+    return rounded(E.annual_draws(days, found, SETTINGS), 4)
+
+
 def _holdout(spark, sf):
     rows = inputs(spark, sf)
     both = R.matched_pairs(rows.ground, rows.camera_copies)

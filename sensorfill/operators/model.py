@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sensorfill import schema as S
 from sensorfill.functions.draws import key_digest, normal_pair, uniform
 from sensorfill.functions.numeric import invlogit, ln_factorial, log1p_exp, normal_logpdf
+from sensorfill.functions.quadrature import laplace_correction
 from sensorfill.operators.scale import default_tasks, lookup_join, materialize
 
 # The effects, each without and with its covariate; the variants
@@ -336,31 +337,33 @@ def log_prior(point: Sequence[float], covariate: bool) -> float:
     return total
 
 
-def _as_row(variant: str, point: Sequence[float]) -> tuple:
+def as_row(variant: str, point: Sequence[float]) -> tuple:
     full = [float(x) for x in point] + [0.0, 0.0]
     return (variant, full[0], math.exp(full[1]), full[2], math.exp(full[3]))
 
 
 def marginal_at(
-    effects: DataFrame, points: Mapping[str, Sequence[Sequence[float]]]
+    effects: DataFrame, points: Mapping[str, Sequence[Sequence[float]]], nodes: int = 0
 ) -> dict[str, list[float]]:
-    """Laplace log marginal posterior of each variant at each of its points.
+    """Log marginal posterior of each variant at each of its points.
 
+    By Laplace's method, or with ``nodes`` by adaptive Gauss-Hermite quadrature.
     Relative to the sum of ``_best_loglik``, a constant of the data. One job for all variants and points; one number per point comes back.
     """
     spark: SparkSession = effects.sparkSession
-    rows = [(i, *_as_row(v, x)) for v, xs in points.items() for i, x in enumerate(xs)]
+    rows = [(i, *as_row(v, x)) for v, xs in points.items() for i, x in enumerate(xs)]
     table = spark.createDataFrame(
         rows, "point int, variant string, m double, p double, m_cov double, p_cov double"
     )
     # Every sensor meets every trial point of its variant; the trial points are
     # made here, a few dozen of them.
-    sums = (
-        with_modes(effects.join(F.broadcast(table), "variant"))
-        .groupBy("variant", "point")
-        .agg(F.sum("log_evidence").alias("total"))
-        .collect()
-    )
+    modes = with_modes(effects.join(F.broadcast(table), "variant"))
+    evidence = F.col("log_evidence")
+    if nodes:
+        given = ("hits_0", "size_0", "hits_1", "size_1", *HYPER)
+        columns = [F.col(c) for c in (*given, "theta", "beta", "theta_var", "beta_var", "cov")]
+        evidence = evidence + laplace_correction(nodes)(_is_logistic(), *columns)
+    sums = modes.groupBy("variant", "point").agg(F.sum(evidence).alias("total")).collect()
     found = {(r["variant"], r["point"]): r["total"] for r in sums}
     return {
         v: [found[v, i] + log_prior(x, "_" in v) for i, x in enumerate(xs)]
@@ -368,14 +371,14 @@ def marginal_at(
     }
 
 
-def _within(x: np.ndarray) -> np.ndarray:
+def within(x: np.ndarray) -> np.ndarray:
     """The nearest point whose means and log precisions are within their bounds."""
     pair = list(zip(MEAN_BOUNDS, (math.log(b) for b in PRECISION_BOUNDS)))
     low, high = (np.tile(side, len(x) // 2) for side in pair)
     return np.clip(x, low, high)
 
 
-def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
+def stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
     """``x``, then the points around it that second differences need."""
     unit = np.eye(len(x)) * h
     points = [x]
@@ -386,8 +389,8 @@ def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
     return points
 
 
-def _differences(f: Sequence[float], n: int, h: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and Hessian from the values at ``_stencil``."""
+def differences(f: Sequence[float], n: int, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian from the values at ``stencil``."""
     up, down = np.array(f[1 : 1 + 2 * n : 2]), np.array(f[2 : 2 + 2 * n : 2])
     gradient = (up - down) / (2 * h)
     hessian = np.diag((up - 2 * f[0] + down) / h**2)
@@ -415,7 +418,7 @@ def climb(
     point, the value there, the Hessian and whether the search has converged.
     """
     scales = (1.0, 0.3, 0.05)
-    now = {v: _within(np.array(x, dtype=float)) for v, x in start.items()}
+    now = {v: within(np.array(x, dtype=float)) for v, x in start.items()}
     moves = {v: np.zeros(len(x)) for v, x in now.items()}
     value = dict.fromkeys(now, -math.inf)
     hessians: dict[str, np.ndarray | None] = dict.fromkeys(now)
@@ -426,7 +429,7 @@ def climb(
             break
         found = evaluate(
             {
-                v: _stencil(now[v] + moves[v], h) + [now[v] + s * moves[v] for s in scales[1:]]
+                v: stencil(now[v] + moves[v], h) + [now[v] + s * moves[v] for s in scales[1:]]
                 for v in open_
             }
         )
@@ -442,7 +445,7 @@ def climb(
                 continue
             else:
                 now[v], value[v] = now[v] + moves[v], tries[0]
-                gradient, hessians[v] = _differences(f, n, h)
+                gradient, hessians[v] = differences(f, n, h)
                 moves[v] = _uphill(now[v], gradient, hessians[v])
             if np.abs(moves[v]).max() < tolerance:
                 done.add(v)
@@ -457,13 +460,13 @@ def _uphill(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> np.ndar
 
     Coordinates that sit at a bound and want to leave it are held there.
     """
-    free = _within(x + np.sign(gradient) * 1e-9) != x
+    free = within(x + np.sign(gradient) * 1e-9) != x
     move = np.zeros(len(x))
     if free.any():
         curve, axes = np.linalg.eigh(-hessian[np.ix_(free, free)])
         step = axes @ ((axes.T @ gradient[free]) / np.maximum(np.abs(curve), 1e-3))
         move[free] = step * min(1.0, 1.5 / max(np.abs(step).max(), 1e-300))
-    return _within(x + move) - x
+    return within(x + move) - x
 
 
 def fit_hierarchical(
@@ -472,11 +475,12 @@ def fit_hierarchical(
     tolerance: float = 1e-5,
     max_rounds: int = 60,
     h: float = 1e-3,
+    nodes: int = 0,
 ) -> DataFrame:
-    """Hyperparameters at the maximum of the Laplace marginal posterior.
+    """Hyperparameters at the maximum of the marginal posterior.
 
-    The sensor effects are integrated out by Laplace's method, as they are
-    independent given the hyperparameters; Newton's method on (m, ln p) does the
+    The sensor effects are integrated out by Laplace's method, or with ``nodes`` by
+    adaptive Gauss-Hermite quadrature, as they are independent given the hyperparameters; Newton's method on (m, ln p) does the
     rest. The likelihood separates over effects, so all variants, and with them
     all eight models, are fitted in the same jobs. Only one number per trial point
     reaches the driver. Too few sensors with data leave a precision undecided; it
@@ -498,7 +502,7 @@ def fit_hierarchical(
         start[row["variant"]] = [row["m"], math.log(row["p"])]
         if "_" in row["variant"]:
             start[row["variant"]] += [row["m_cov"], math.log(row["p_cov"])]
-    found = climb(start, lambda points: marginal_at(effects, points), tolerance, max_rounds, h)
+    found = climb(start, lambda points: marginal_at(effects, points, nodes), tolerance, max_rounds, h)
     rows = []
     for v, (x, value, hessian, converged) in sorted(found.items()):
         errors: list[float | None] = [None] * 4
@@ -506,7 +510,7 @@ def fit_hierarchical(
             for i, variance in enumerate(np.diag(np.linalg.pinv(-hessian))):
                 errors[i] = float(math.sqrt(variance)) if variance > 0 else None
         total = None if value is None else float(value) + constants[v]
-        rows.append((*_as_row(v, x), *errors, total, converged))
+        rows.append((*as_row(v, x), *errors, total, converged))
     return effects.sparkSession.createDataFrame(
         rows,
         "variant string, m double, p double, m_cov double, p_cov double, m_se double, "
@@ -732,6 +736,12 @@ def new_sensor_effects(hyper: DataFrame) -> DataFrame:
     )
 
 
+def hyper_estimates(fit: DataFrame) -> DataFrame:
+    """``(param, estimate)``: the fitted means and log precisions in long form."""
+    names = F.stack(F.lit(2), F.lit("m"), F.col("m"), F.lit("log_p"), F.ln("p")).alias("name", "estimate")
+    return fit.select("variant", names).select(F.concat_ws(".", "variant", "name").alias("param"), "estimate")
+
+
 def hyper_summary(fit: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     """Estimate, standard error and interval of each fitted hyperparameter, in long form.
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorfill import schema as S
-from sensorfill.operators import coverage, gapfill, impute, model, pairing, prepare, vectors
+from sensorfill.operators import coverage, gapfill, impute, model, nested, pairing, prepare, vectors
 from sensorfill.operators.scale import materialize
 
 
@@ -28,7 +28,9 @@ class Settings:
     false zeros and at positives are then calibrated on it alone. ``eval_fit``
     holds out a share of the pairs and measures the error there.
     ``vary_parameters`` draws the sensors' parameters too, for each draw of the effort,
-    instead of holding them at their modes. ``require_all_donors`` fills only seasons with all donors usable;
+    instead of holding them at their modes: as Normal around them, with
+    ``exact_posteriors`` from each sensor's own posterior, and with ``vary_hyper`` from
+    the mixture over the uncertain hyperparameters too. ``require_all_donors`` fills only seasons with all donors usable;
     ``restrict_calibration`` leaves the seasons that are not reported out of the
     fit altogether. A fit that did not converge is refused unless
     ``accept_unconverged``.
@@ -46,6 +48,8 @@ class Settings:
     n_draws: int = 1000
     seed: int = 1
     vary_parameters: bool = False
+    exact_posteriors: bool = False
+    vary_hyper: bool = False
     p_seen_mode: str = "none"
     require_all_donors: bool = False
     restrict_calibration: bool = False
@@ -183,8 +187,15 @@ def estimate_effort(
     expected = impute.expected_effort(groups, params, settings.p_seen_mode)
     daily = materialize(impute.sum_effort_daily(expected))
     given = vectors.fixed_params(params)
-    if settings.vary_parameters:
-        given = vectors.param_vectors(params, settings.n_draws, settings.seed)
+    drawn = (chosen, settings.n_draws, settings.seed)
+    if settings.vary_hyper:
+        parts = fit.filter(F.col("variant").isin(*model.MODELS[chosen]))
+        grid = materialize(nested.hyper_grid(effects, parts))
+        given = nested.mixed_vectors(effects, grid, *drawn)
+    elif settings.exact_posteriors:
+        given = nested.exact_vectors(modes, *drawn)
+    elif settings.vary_parameters:
+        given = vectors.param_vectors(params, *drawn[1:])
     days = vectors.effort_vectors(groups, given, settings.n_draws, settings.seed, settings.p_seen_mode)
     out.update(
         params=params,
