@@ -31,6 +31,7 @@ DOCS_PER_LANGUAGE, MAX_DOCS, WINDOWS_PER_DOC = 600, 20_000, 4
 TRAIN_SPAN = 48
 BATCH, STEPS, RATE = 256, 260, 0.02
 SEED = 11
+HASHES = 1 << 60
 UNDECIDED = "und"
 
 #: Bytes that belong to letters, and bytes as the network reads them: A-Z as a-z.
@@ -277,10 +278,15 @@ def training_windows(docs: DataFrame) -> DataFrame:
         F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("text", F.lit(i)), last)).cast("int"), F.lit(TRAIN_SPAN))
         for i in range(WINDOWS_PER_DOC)
     ]
-    cut = known.select("lang", F.xxhash64("text").alias("hash"), F.array(*windows).alias("windows"))
-    cut = cut.groupBy("lang", "hash").agg(F.min("windows").alias("windows"))
-    languages = known.agg(F.count_distinct("lang")).head()[0]
-    each = max(1, min(DOCS_PER_LANGUAGE, MAX_DOCS // max(1, languages)))
+    hashed = known.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(HASHES)))
+    # A row for each language, of about how many texts it has.
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    each = max(1, min(DOCS_PER_LANGUAGE, MAX_DOCS // max(1, len(sizes))))
+    # Twice what is needed, so that the least hashes are surely among them.
+    limits = [(r["lang"], min(HASHES, HASHES * 2 * (each + 50) // r["n"])) for r in sizes]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, below long")
+    near = hashed.join(F.broadcast(limits), "lang").where("hash < below")
+    cut = near.groupBy("lang", "hash").agg(F.min(F.array(*windows)).alias("windows"))
     order = SqlWindow.partitionBy("lang").orderBy("hash")
     ranked = cut.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     return ranked.select("lang", F.explode("windows").alias("window"))
