@@ -188,7 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two star contractions until nothing changes: every node's larger
     neighbours, then its smaller ones, are hung on its smallest neighbour. Only minima
-    are grouped, so a node with very many links is no burden; AQE splits its join.
+    are grouped; they are written before they are joined back, so that both sides of the
+    join are freshly shuffled and adaptive execution can split a node with very many links.
     """
     now = stored(edges.where("a <> b").distinct(), "links")
     before = None
@@ -200,16 +201,17 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = tuple(seen)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = larger.where("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        smaller = down.join(least, "a")
+        down = stored(larger.where("a <> b").distinct(), "links")
+        lower = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+        smaller = down.join(lower, "a")
         smaller = smaller.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            least.select("a", F.col("m").alias("b"))
+            lower.select("a", F.col("m").alias("b"))
         )
         after = stored(smaller.where("a <> b").distinct(), "links")
-        discard(now)
+        for done in (now, least, down, lower):
+            discard(done)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -231,7 +233,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     grouped = own.join(roots, own.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    grouped = stored(grouped, "grouped")
+    # Written, so that its join is freshly shuffled on both sides.
+    of_root = stored(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     of_fp = grouped.join(of_root, "root").select("fp", "root", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
