@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 # At the smallest size the data leave a hyperparameter at a bound, where the SQL's grid ends.
-LARGER = {"m2_fit_hierarchical", "i6_effort_annual_fitted"}
+LARGER = {
+    "m2_fit_hierarchical", "i6_effort_annual_fitted", "j8_compare_fits_hyper", "i6_effort_annual_posterior",
+}
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
