@@ -412,19 +412,23 @@ def exact_cdf(cells: int = 4000) -> str:
         f"exp(greatest(-700, hits_0 * {move} - size_0 * ({BEND.format('x')} - {BEND.format('theta')}) "
         f"- p * {move} * (theta - m + 0.5 * {move})))"
     )
-    slope = f"(hits_0 - ({MEAN.replace('(t)', '(x)').replace('(-t)', '(-x)')}) - p * (x - m))"
+
+    def at_x(term: str) -> str:
+        return "(" + term.replace("(t)", "(x)").replace("(-t)", "(-x)") + ")"
+
+    slope = f"(hits_0 - {at_x(MEAN)} - p * (x - m))"
     reach = f"least(12 * sqrt(theta_var), 9.6 / sqrt(p) + abs(theta - m))"
     at = f"theta - {reach} + 2 * {reach} * i / {2 * cells}"
     return f"""
 fine AS MATERIALIZED (
-  SELECT *, {density} AS f, {slope} AS s FROM (
+  SELECT *, {density} AS f, {slope} AS s, {at_x(CURVE)} + p AS c FROM (
     SELECT variant, site_id, location, hits_0, size_0, m, p, theta, i, {at} AS x, {reach} / {cells} AS h
     FROM modes, range(0, {2 * cells + 1}) t(i) WHERE NOT contains(variant, '_'))),
 cells AS MATERIALIZED (
   SELECT *, lead(f, 1) OVER w AS f1, lead(f, 2) OVER w AS f2
   FROM fine WINDOW w AS (PARTITION BY variant, site_id, location ORDER BY i)),
 cdf AS MATERIALIZED (
-  SELECT variant, site_id, location, x, f, s, coalesce(sum(part) OVER (
+  SELECT variant, site_id, location, x, f, s, c, coalesce(sum(part) OVER (
            PARTITION BY variant, site_id, location ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            / total AS up_to, total
   FROM (SELECT *, h * (f + 4 * f1 + f2) / 3 AS part,
@@ -432,8 +436,12 @@ cdf AS MATERIALIZED (
         FROM cells WHERE i % 2 = 0 AND f2 IS NOT NULL))"""
 
 
-#: From the start of a cell on: the way to the wanted share, with the density's slope.
-EXACT = "(x + (u - up_to) * total / f - 0.5 * s * ((u - up_to) * total / f) ** 2)"
+#: From the start of a cell on: the way to the wanted share, by the inverse's series with
+#: the slope and the curvature of the log density.
+EXACT = (
+    "(x + (u - up_to) * total / f - 0.5 * s * ((u - up_to) * total / f) ** 2 "
+    "+ (2 * s * s + c.c) / 6 * ((u - up_to) * total / f) ** 3)"
+)
 
 
 def digest(*keys: str) -> str:
