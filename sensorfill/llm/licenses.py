@@ -122,6 +122,8 @@ GATES = (
 )
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Marks around a match. Words have no control characters, so no prepared text has them.
+OPEN, CLOSE = "\x01", "\x02"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -174,52 +176,108 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out + [(label, key, rf" {name}(?= )", p) for label, key, name, p in SINGLE]
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: what a lambda function names from outside
+    is made again at each of its calls."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spaces(x: Column) -> Column:
     return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
 
 
 def _intervals(text: Column, pattern: Column) -> Column:
-    """[start, end) in words of all matches. What stands between matches and the matches
-    themselves, by turns, give the places."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    n = F.size(found)
-    gaps = F.zip_with(F.slice(between, 1, n), found, lambda g, m: F.struct(_spaces(g).alias("g"), _spaces(m).alias("m")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    walked = F.aggregate(
-        gaps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"))),
-            ).alias("out"),
-        ),
-    )
-    return walked["out"]
+    """[start, end) in words of all matches, in time proportional to the text.
+
+    Matches are marked at both ends with characters that no text has here, and the marks
+    found among the words: a match begins behind word ``start - 1`` and ends with word
+    ``end - 1``, and the first piece of a text is the empty one before its first space.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, F.lit(f"{OPEN}$0{CLOSE}")), " ", -1)
+
+    def places(words: Column, mark: str) -> Column:
+        return F.array_compact(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)))
+
+    def paired(words: Column) -> Column:
+        begins, ends = places(words, OPEN), places(words, CLOSE)
+        return F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+
+    return _once(marked, paired)
 
 
 def _base(text: Column) -> Column:
     """(start, label) of all places of the base phrases."""
     def places(phrase: str, label: str) -> Column:
-        found = _intervals(text, F.lit(f" {phrase}(?= )"))
-        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")))
+        found = F.transform(
+            _intervals(text, F.lit(f" {phrase}(?= )")),
+            lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")),
+        )
+        none = F.array().cast("array<struct<start:int,label:string>>")
+        return F.when(F.contains(text, F.lit(f" {phrase} ")), found).otherwise(none)
 
     each = [places(phrase, label) for phrase, label in BASE.items()]
     return F.array_sort(F.concat(*each))
 
 
-_DETECTION = "array<struct<start:int,end:int,priority:int,label:string>>"
+_ONE = "struct<start:int,end:int,priority:int,label:string>"
+_DETECTION = f"array<{_ONE}>"
+
+
+def _settled(found: Column) -> Column:
+    """``found``, sorted so that an interval can only lie inside an earlier one, without
+    those inside another and, of two that overlap, the one of lower priority.
+
+    The walk keeps how far intervals reach and the last one kept, which a later one may
+    still replace. It goes by blocks of about the root of their number, each with a list
+    of its own: one list that grows would be copied for every interval.
+    """
+    none = F.array().cast(_DETECTION)
+
+    def state(reach: Column, last: Column, out: Column) -> Column:
+        return F.struct(reach.alias("reach"), last.alias("last"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last, out = acc["last"], acc["out"]
+        apart = last.isNull() | (x["start"] >= last["end"])
+        done = F.when(last.isNull(), out).otherwise(F.concat(out, F.array(last)))
+        return (
+            F.when(x["end"] <= acc["reach"], acc)
+            .when(apart, state(x["end"], x, done))
+            .when(x["priority"] > last["priority"], state(x["end"], x, out))
+            .otherwise(state(x["end"], last, out))
+        )
+
+    size = F.greatest(F.ceil(F.sqrt(F.size(found))), F.lit(64)).cast("int")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), size)
+
+    def block(acc: Column, first: Column) -> Column:
+        end = F.aggregate(F.slice(found, first, size), state(acc["reach"], acc["last"], none), step)
+        return F.struct(
+            end["reach"].alias("reach"), end["last"].alias("last"),
+            F.concat(acc["outs"], F.array(end["out"])).alias("outs"),
+        )
+
+    zero = F.struct(
+        F.lit(0).alias("reach"), F.lit(None).cast(_ONE).alias("last"),
+        F.array().cast(f"array<{_DETECTION}>").alias("outs"),
+    )
+    return F.aggregate(
+        starts, zero, block,
+        lambda acc: F.concat(F.flatten(acc["outs"]), F.when(acc["last"].isNull(), none).otherwise(F.array(acc["last"]))),
+    )
 
 
 def _detections(text: Column) -> Column:
     """Detections of all rules, those that others suppress left out."""
-    # One literal: as thousands of expressions the table would slow down planning.
-    names = ("label", "key", "pattern", "priority")
-    made = json.dumps([dict(zip(names, rule)) for rule in rules()])
-    table = F.from_json(F.lit(made), "array<struct<label:string,key:string,pattern:string,priority:int>>")
-    used = F.filter(table, lambda r: F.contains(text, r["key"]) & F.rlike(text, r["pattern"]))
+    # One literal: as thousands of expressions the table would slow down planning. Rules
+    # with one keyword stand together, so that a text is searched for it once.
+    behind = {}
+    for label, key, pattern, priority in rules():
+        behind.setdefault(key, []).append({"label": label, "pattern": pattern, "priority": priority})
+    made = json.dumps([{"key": key, "rules": each} for key, each in behind.items()])
+    table = F.from_json(F.lit(made), "array<struct<key:string,rules:array<struct<label:string,pattern:string,priority:int>>>>")
+    gated = F.flatten(F.transform(F.filter(table, lambda k: F.contains(text, k["key"])), lambda k: k["rules"]))
+    used = F.filter(gated, lambda r: F.rlike(text, r["pattern"]))
     # In the order in which an interval can only lie inside an earlier one.
     found = F.array_sort(
         F.flatten(
@@ -241,26 +299,7 @@ def _detections(text: Column) -> Column:
             x["start"].alias("start"), (-x["back"]).alias("end"), (-x["rank"]).alias("priority"), x["label"].alias("label")
         ),
     )
-    none = F.array().cast(_DETECTION)
-    outer = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("reach"), none.alias("kept")),
-        lambda acc, x: F.when(x["end"] <= acc["reach"], acc).otherwise(
-            F.struct(x["end"].alias("reach"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        ),
-    )["kept"]
-
-    def settle(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        clash = (F.size(kept) > 0) & (x["start"] < last["end"])
-        better = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(x))
-        return (
-            F.when(~clash, F.concat(kept, F.array(x)))
-            .when(x["priority"] > last["priority"], better)
-            .otherwise(kept)
-        )
-
-    return F.aggregate(outer, none, settle)
+    return _once(found, _settled)
 
 
 def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -268,27 +307,27 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     (start, end, priority, label of what the rules find) to each row.
 
     Words are those of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z became a-z. A null
-    or empty text has none. ``docs`` must not have the three columns, nor ``_words``,
-    ``_gate`` and ``_low``.
+    or empty text has none. Columns of ``docs`` with one of the three names give way to
+    the new ones; all others stay, whatever their names.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), NOT_WORD, " ")), F.lit(" "))
-    rows = docs.withColumn("_words", words)
-    low = F.lower("_words")
+    # The row as one value: its columns cannot clash with those made on the way.
+    rows = docs.select(F.struct("*").alias("row"), words.alias("words"))
+    low = F.lower("words")
     gate = F.contains(low, F.lit(GATES[0]))
     for key in GATES[1:]:
         gate = gate | F.contains(low, F.lit(key))
     rows = rows.select(
-        *docs.columns,
-        F.when(F.col("_words") == "  ", F.lit(0)).otherwise(_spaces(F.col("_words")) - 1).cast("long").alias("n_words"),
-        F.when(gate, F.col("_words")).alias("_gate"),
+        "row",
+        F.when(F.col("words") == "  ", F.lit(0)).otherwise(_spaces(F.col("words")) - 1).cast("long").alias("n_words"),
+        F.when(gate, F.translate("words", UPPER, LOWER)).alias("low"),
     )
-    rows = rows.withColumn("_low", F.translate("_gate", UPPER, LOWER)).drop("_gate")
-    found = F.col("_low").isNotNull()
+    found = F.col("low").isNotNull()
     return rows.select(
-        *docs.columns,
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_words", "base", "detections")],
         "n_words",
-        F.when(found, _base(F.col("_low"))).otherwise(F.array().cast("array<struct<start:int,label:string>>")).alias("base"),
-        F.when(found, _detections(F.col("_low"))).otherwise(F.array().cast(_DETECTION)).alias("detections"),
+        F.when(found, _base(F.col("low"))).otherwise(F.array().cast("array<struct<start:int,label:string>>")).alias("base"),
+        F.when(found, _detections(F.col("low"))).otherwise(F.array().cast(_DETECTION)).alias("detections"),
     )
 
 

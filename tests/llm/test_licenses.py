@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -152,3 +153,37 @@ def test_names_without_a_common_keyword_and_short_forms(spark):
     for r in L.with_licenses(docs).collect():
         assert ",".join(sorted({d.label for d in r.detections})) == FOUND[texts[r.doc_id]], texts[r.doc_id]
         assert [tuple(x) for x in r.detections] == brute(texts[r.doc_id], L.rules())[2]
+
+
+def test_many_detections_in_one_text_against_brute_force(spark):
+    # Several blocks of the walk, with intervals that overlap across their borders.
+    text = "licensed under the gnu general public license version 3 or later mit license apache license 2.0 of it " * 60
+    text += "mit license cc by nc sa 4.0 " * 60
+    row = L.with_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    n, base, kept = brute(text, L.rules())
+    assert row.n_words == n and len(kept) > 250
+    assert sorted((x.start, x.label) for x in row.base) == base
+    assert [(x.start, x.end, x.priority, x.label) for x in row.detections] == kept
+
+
+def test_a_text_of_many_phrases_takes_time_in_proportion(spark):
+    times = []
+    for n in (2_000, 10_000, 40_000):
+        docs = spark.createDataFrame([(1, "the mit license of it. " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = L.with_licenses(docs).head()
+        times.append(time.perf_counter() - start)
+        assert len(row.base) == n and len(row.detections) == n
+    # Four times the text; a quadratic walk takes sixteen times as long.
+    assert times[2] < 9 * max(times[1], 1)
+
+
+def test_columns_with_the_names_made_on_the_way(spark):
+    docs = spark.createDataFrame(
+        [(1, "mit license", "a", "b", "c", 9)],
+        "doc_id long, text string, _words string, row string, low string, n_words int",
+    )
+    out = L.with_licenses(docs)
+    assert out.columns == ["doc_id", "text", "_words", "row", "low", "n_words", "base", "detections"]
+    row = out.head()
+    assert (row._words, row.row, row.low, row.n_words) == ("a", "b", "c", 2)
