@@ -45,8 +45,8 @@ def encoder(ranks: str = RANKS):
 
 
 def with_tokens(docs: DataFrame, ranks: str = RANKS, seq_len: int = SEQ_LEN) -> DataFrame:
-    """uid, doc_id, n_tokens, n_seqs, tokens (16-bit little-endian ids, or 32-bit where
-    the vocabulary needs it) of rows (uid, doc_id, text).
+    """uid, doc_id, place, n_tokens, n_seqs, tokens (16-bit little-endian ids, or 32-bit
+    where the vocabulary needs it) of rows (uid, doc_id, place, text).
 
     Every document ends with one end id, so an empty or null text is a sequence too.
     """
@@ -64,12 +64,12 @@ def with_tokens(docs: DataFrame, ranks: str = RANKS, seq_len: int = SEQ_LEN) ->
                 size[i] = len(ids)
                 packed.append(np.array(ids, dtype=kind).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("doc_id"), pa.array(size), pa.array(-(-size // seq_len)), pa.array(packed, pa.binary())],
-                names=["uid", "doc_id", "n_tokens", "n_seqs", "tokens"],
+                [*batch.columns[:3], pa.array(size), pa.array(-(-size // seq_len)), pa.array(packed, pa.binary())],
+                names=["uid", "doc_id", "place", "n_tokens", "n_seqs", "tokens"],
             )
 
-    return docs.select("uid", "doc_id", "text").mapInArrow(
-        run, f"uid long, doc_id {id_type}, n_tokens long, n_seqs long, tokens binary"
+    return docs.select("uid", "doc_id", "place", "text").mapInArrow(
+        run, f"uid long, doc_id {id_type}, place long, n_tokens long, n_seqs long, tokens binary"
     )
 
 
@@ -176,13 +176,14 @@ def training_shards(
     Partitions are in slot order.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    # By id and text: rows of one id, or without any, are spread and ordered by their texts.
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", place.alias("place"), "text")
     tokens = stored(with_tokens(rows, ranks, seq_len), "tokens")
     end = sum(1 for line in open(ranks, "rb") if line.strip())
     kind = "<u2" if end < 1 << 16 else "<u4"
     n = tokens.agg(F.sum("n_seqs")).head()[0] or 0
-    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    first = start_offsets(tokens.select("doc_id", "n_tokens", "n_seqs", "uid"), [], order, "n_seqs", "first")
+    first = start_offsets(tokens.select("doc_id", "n_tokens", "n_seqs", "uid", "place"), [], F.col("place"), "n_seqs", "first")
     numbered = lookup_join(tokens, first.select("uid", "first"), "uid")
     id_type = dict(docs.dtypes)["doc_id"]
     sequences = numbered.mapInArrow(

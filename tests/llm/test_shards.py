@@ -60,3 +60,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [i for r in shards for i in r.doc_ids]
     assert {1, 2, 3, 4, 5, 6, 7, None} == set(ids) and ids.count(1) == 2
     assert S.training_shards(no_docs).count() == 0
+
+
+def test_rows_of_one_id_are_ordered_by_their_texts(spark):
+    rows = [(1, "a b c"), (1, "d e f"), (1, "g h i"), (None, "k l m"), (None, "o p q"), (2, "a b c")]
+    found = []
+    for given in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+        shards = S.training_shards(docs, seq_len=4, per_shard=4).collect()
+        found.append([(r.shard, r.doc_ids, bytes(r.tokens)) for r in shards])
+    assert found[0] == found[1] == found[2]
