@@ -224,8 +224,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     # The labels used are bounded by max_train, so they may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
     signed = stored(rows.mapInArrow(_sign, "text string, toxic boolean, s0 long, s1 long, s2 long"), "train")
+    # The least of each group stays, not the first: rows have no order.
+    least = F.min(F.struct(F.xxhash64("text").alias("at"), "text", "s0", "s1", "s2")).alias("row")
     for sign in ("s0", "s1", "s2"):
-        signed = signed.dropDuplicates(["toxic", sign])
+        signed = signed.groupBy("toxic", F.col(sign).alias("of")).agg(least).select("toxic", "row.*")
     return stored(signed.select("text", "toxic"), "train")
 
 
@@ -389,6 +391,8 @@ def learn(train: DataFrame) -> Model:
             )
 
     rows = train.select("text", "toxic").mapInArrow(run, "x array<double>, toxic boolean").collect()
+    # In one order, so that sums of doubles agree.
+    rows.sort(key=lambda r: (r.toxic, r.x))
     if not rows:
         return Model({}, (*KINDS.values(), BIAS))
     x = np.array([r.x for r in rows]).reshape(len(rows), len(KINDS))
@@ -429,5 +433,8 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored 0.5 or more go; all others stay as they are."""
-    scored = with_score(docs, trained(spark, docs, sf_dir), name="_toxicity")
-    return scored.where("_toxicity < 0.5").drop("_toxicity")
+    name = "_toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    scored = with_score(docs, trained(spark, docs, sf_dir), name=name)
+    return scored.where(F.col(name) < 0.5).drop(name)

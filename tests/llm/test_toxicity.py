@@ -90,3 +90,27 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
 def test_sample_is_bounded(spark, text):
     docs, labels = labelled(spark, text)
     assert X.training_rows(docs, labels, max_train=50).count() < 90
+
+
+def test_model_does_not_depend_on_row_order(spark):
+    # Near copies that share one or two signatures with others, not all with all.
+    words = [f"w{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(300):
+        kept = [w for j, w in enumerate(words) if (i * 7 + j * 3) % 11 > 2]
+        rows.append((i, " ".join(kept) + (" you are an idiot" if i % 3 == 0 else "")))
+        labels.append((i, int(i % 3 == 0)))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = []
+    for given, parts in ((rows, 1), (rows[::-1], 3), (rows, 5)):
+        docs = spark.createDataFrame(given, "doc_id long, text string").repartition(parts)
+        train = X.training_rows(docs, labels)
+        models.append((sorted(map(tuple, train.collect())), X.learn(train)))
+    assert models[0] == models[1] == models[2]
+
+
+def test_the_stage_keeps_a_column_with_the_name_of_its_score(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "fine text", 7)], "doc_id long, text string, _Toxicity int")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = X.drop_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.head()[2] == 7
