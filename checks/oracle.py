@@ -11,7 +11,7 @@ from statistics import NormalDist
 
 import numpy as np
 
-from checks.queries import N_DRAWS, NODES, SEED
+from checks.queries import N_DRAWS, N_FOLDS, NODES, SEED
 
 RAW = """
 site_src AS (
@@ -1014,6 +1014,25 @@ def _oracles() -> dict[str, str]:
         f"SELECT draw, is_zero, {err} FROM drawn GROUP BY draw, is_zero",
     )
 
+    # Every fold fitted on its own, from the pairs of the others.
+    fold = f"least(floor({uniform(digest('obs_seq', 'cam_location'), 0)} * {N_FOLDS}), {N_FOLDS - 1})"
+    parts, errors = [], []
+    for k in range(N_FOLDS):
+        known = "cam_count IS NOT NULL AND ground_count IS NOT NULL"
+        parts += [
+            f"train{k} AS (SELECT * FROM matched WHERE {fold} <> {k})",
+            f"""vrows{k} AS (
+  SELECT * EXCLUDE (location, cam_location), cam_location AS location, cam_count = 0 AS is_zero,
+         1 AS n_rows, cam_count AS cam_sum,
+         count(*) OVER (PARTITION BY "year", site_id, julian_day, "hour", cam_count = 0) AS n_cam
+  FROM matched WHERE {fold} = {k} AND {known})""",
+            modes(f"f{k}_", f"train{k}"),
+        ]
+        errors.append(
+            f"SELECT {k} AS fold, is_zero, {err} FROM {expected(f'vrows{k}', f'parf{k}_1')} GROUP BY is_zero"
+        )
+    o["i7_cross_validation"] = sql(*parts, " UNION ALL ".join(errors))
+
     # gap filling
     o["g1_season_attributes"] = sql(GAPS, "SELECT * FROM attrs")
     o["g2_donors"] = sql(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ SEASON = (2010, 6)
 #: As many as the reference makes.
 N_DRAWS = 1000
 SEED = 7
+#: Parts of a cross-validation.
+N_FOLDS = 5
 #: Nodes of the quadrature over a sensor's effect.
 NODES = 25
 SETTINGS = E.Settings(excluded=EXCLUDED, n_draws=N_DRAWS)
@@ -726,6 +729,14 @@ def i7_holdout_error_by_draw(spark, sf):
     return rounded(I.holdout_error(drawn, ["draw"]))
 
 
+def i7_cross_validation(spark, sf):
+    """Each fold's error at the moments of the others, all folds from one aggregation."""
+    rows = inputs(spark, sf)
+    both = R.matched_pairs(rows.ground, rows.camera_copies)
+    settings = replace(SETTINGS, folds=N_FOLDS, seed=SEED)
+    return rounded(E.cross_validation(both, rows.camera_copies, 1, None, settings, fitted=False))
+
+
 # --- gap filling ------------------------------------------------------------------
 
 

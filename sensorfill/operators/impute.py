@@ -73,13 +73,15 @@ def as_groups(rows: DataFrame) -> DataFrame:
 
 
 def expected_effort(
-    groups: DataFrame, params: DataFrame, p_seen_mode: str = "none"
+    groups: DataFrame, params: DataFrame, p_seen_mode: str = "none", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Add the mean and the variance of each group's effort at given parameters."""
+    """Add the mean and the variance of each group's effort at given parameters, which
+    are those of its sensor (and ``by``)."""
     delta, lam, alpha = _rates(p_seen_mode)
     # As doubles: the square of a hot hour's count is beyond a bigint.
     n, rows, cam = (F.col(c).cast("double") for c in ("n_cam", "n_rows", "cam_sum"))
-    known = lookup_join(groups, params.select(*S.SENSOR, *_EFFECTS), S.SENSOR, "left")
+    keys = [*by, *S.SENSOR]
+    known = lookup_join(groups, params.select(*keys, *_EFFECTS), keys, "left")
     hit = delta * lam
     return known.withColumns(
         {
@@ -201,11 +203,12 @@ def effort_intervals(draws: DataFrame, low: float = 0.025, high: float = 0.975)
     )
 
 
-def holdout_rows(validation: DataFrame) -> DataFrame:
-    """Validation pairs as rows to impute, with the known count kept."""
+def holdout_rows(validation: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Validation pairs as rows to impute, with the known count kept; cameras share a
+    slot's count within ``by``."""
     rows = validation.withColumn("location", F.col("cam_location")).drop("cam_location")
     rows = rows.filter(is_zero() | is_positive()).withColumn("is_zero", is_zero())
-    keys = [*S.SEASON_DAY, "hour", "is_zero"]
+    keys = [*by, *S.SEASON_DAY, "hour", "is_zero"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cam"))
     return lookup_join(rows, counts, keys)
 

@@ -66,10 +66,11 @@ def sensor_stats(
     pairs: DataFrame,
     sensors: DataFrame | None = None,
     season: tuple[int, int] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Twelve sums per sensor, for covariate level 0 and 1.
+    """Twelve sums per sensor (and ``by``), for covariate level 0 and 1.
 
-    ``sensors`` adds sensors without any pair, with sums of zero. ``season`` names
+    ``sensors`` adds sensors without any pair, with sums of zero (and NULL ``by``). ``season`` names
     one (year, site_id) to take the false zeros' and the positives' counts from;
     the number of false zeros among zeros is always that of all pairs. One
     aggregation; a sensor with a third of the pairs is combined before the shuffle.
@@ -95,16 +96,16 @@ def sensor_stats(
         for name, (rows, level, value) in parts.items()
         for x in (0, 1)
     ]
-    long = pairs.select("site_id", F.col("cam_location").alias("location"), *values)
+    long = pairs.select(*by, "site_id", F.col("cam_location").alias("location"), *values)
     long = long.filter(F.col("location").isNotNull())
     if sensors is not None:
         none = [F.lit(0).cast("bigint").alias(name) for name in _SUMS]
-        long = long.unionByName(sensors.select(*S.SENSOR, *none))
-    return long.groupBy(*S.SENSOR).agg(*[F.sum(name).alias(name) for name in _SUMS])
+        long = long.unionByName(sensors.select(*[F.lit(None).alias(c) for c in by], *S.SENSOR, *none))
+    return long.groupBy(*by, *S.SENSOR).agg(*[F.sum(name).alias(name) for name in _SUMS])
 
 
-def effect_table(stats: DataFrame) -> DataFrame:
-    """One row per sensor and variant: events and exposure at either level.
+def effect_table(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per sensor (and ``by``) and variant: events and exposure at either level.
 
     Without a covariate both levels count as level 0.
     """
@@ -119,7 +120,7 @@ def effect_table(stats: DataFrame) -> DataFrame:
         rows += [F.lit(effect), h0 + h1, s0 + s1, none, none]
         rows += [F.lit(f"{effect}_{covariate}"), h0, s0, h1, s1]
     return stats.select(
-        *S.SENSOR, F.stack(F.lit(6), *rows).alias("variant", "hits_0", "size_0", "hits_1", "size_1")
+        *by, *S.SENSOR, F.stack(F.lit(6), *rows).alias("variant", "hits_0", "size_0", "hits_1", "size_1")
     )
 
 
@@ -522,8 +523,8 @@ def fit_hierarchical(
 # --- parameters -----------------------------------------------------------------
 
 
-def sensor_params(modes: DataFrame, model: int = 1) -> DataFrame:
-    """One row per sensor with the three effects of a model.
+def sensor_params(modes: DataFrame, model: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """One row per sensor (and ``by``) with the three effects of a model.
 
     For effect ``e``: ``e``, ``e_cov`` and the variances and covariance of the two.
     """
@@ -536,7 +537,7 @@ def sensor_params(modes: DataFrame, model: int = 1) -> DataFrame:
             ("beta_var", f"{effect}_cov_var"), ("cov", f"{effect}_cross"),
         ):
             picks.append(F.max(F.when(here, F.col(column))).alias(name))
-    return modes.filter(F.col("variant").isin(*chosen)).groupBy(*S.SENSOR).agg(*picks)
+    return modes.filter(F.col("variant").isin(*chosen)).groupBy(*by, *S.SENSOR).agg(*picks)
 
 
 def standard_errors(params: DataFrame) -> DataFrame:

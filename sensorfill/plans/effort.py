@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorfill import schema as S
-from sensorfill.operators import coverage, gapfill, impute, model, nested, pairing, prepare, vectors
+from sensorfill.operators import coverage, folds, gapfill, impute, model, nested, pairing, prepare, vectors
 from sensorfill.operators.scale import materialize
 
 
@@ -26,7 +26,8 @@ class Settings:
     ``model`` is the covariate model; ``run_all`` chooses the one with the least
     DIC instead. ``detail`` names one (year, site_id) to report by day; counts at
     false zeros and at positives are then calibrated on it alone. ``eval_fit``
-    holds out a share of the pairs and measures the error there.
+    holds out a share of the pairs and measures the error there; ``folds`` holds out
+    every pair once, in so many fits that read the pairs together.
     ``vary_parameters`` draws the sensors' parameters too, for each draw of the effort,
     instead of holding them at their modes: as Normal around them, with
     ``exact_posteriors`` from each sensor's own posterior, and with ``vary_hyper`` from
@@ -45,6 +46,7 @@ class Settings:
     detail: tuple[int, int] | None = None
     eval_fit: bool = False
     psamp: float = S.TRAINING_SHARE
+    folds: int = 0
     n_draws: int = 1000
     seed: int = 1
     vary_parameters: bool = False
@@ -105,16 +107,24 @@ def kept_seasons(cameras: DataFrame, settings: Settings = Settings()) -> Seasons
     return Seasons(kept, coverage.season_days(kept), shares)
 
 
+def calibration_pairs(
+    pairs: DataFrame, seasons: Seasons | None = None, settings: Settings = Settings()
+) -> DataFrame:
+    """The pairs to calibrate on: all, or those of the seasons that are reported."""
+    if settings.restrict_calibration:
+        if settings.detail is not None:
+            return coverage.restrict_to(pairs, *settings.detail)
+        if seasons is not None:
+            return coverage.drop_low_coverage(pairs, seasons.coverage, settings.cutoff)
+    return pairs
+
+
 def calibration_effects(
     pairs: DataFrame, cameras: DataFrame, seasons: Seasons | None = None,
     settings: Settings = Settings(),
 ) -> DataFrame:
     """Sufficient statistics of the pairs, for every sensor and model variant."""
-    if settings.restrict_calibration:
-        if settings.detail is not None:
-            pairs = coverage.restrict_to(pairs, *settings.detail)
-        elif seasons is not None:
-            pairs = coverage.drop_low_coverage(pairs, seasons.coverage, settings.cutoff)
+    pairs = calibration_pairs(pairs, seasons, settings)
     stats = model.sensor_stats(pairs, coverage.sensors_of(cameras), settings.detail)
     return model.effect_table(materialize(stats))
 
@@ -157,8 +167,8 @@ def estimate_effort(
     ``fit`` and ``params`` are the calibration, ``daily`` and ``annual`` the
     expected effort, ``draws`` the daily effort at each draw, ``intervals`` and
     ``annual_draws`` its spread by day and by year, ``dic`` the model
-    comparison (with ``run_all``) and ``error`` the hold-out error (with
-    ``eval_fit``). The fit and the daily means are computed here, the rest when used.
+    comparison (with ``run_all``), ``error`` the hold-out error (with ``eval_fit``) and
+    ``cross_validation`` that of every fold (with ``folds``). The fit and the daily means are computed here, the rest when used.
     """
     rows = keyed_inputs(raw_observations, raw_sites, settings)
     pairs = pairing.matched_pairs(rows.ground, rows.camera_copies)
@@ -169,11 +179,7 @@ def estimate_effort(
 
     effects = calibration_effects(pairs, rows.camera_copies, seasons, settings)
     fit = model.fit_hierarchical(effects)
-    if not settings.accept_unconverged:
-        # One row for each of the six variants.
-        failed = sorted(r["variant"] for r in fit.filter("not converged").collect())
-        if failed:
-            raise RuntimeError(f"the fit did not converge for {', '.join(failed)}")
+    _refuse_unconverged(fit, settings)
     modes = materialize(model.effect_modes(effects, fit))
     out = {"fit": fit, "coverage": seasons.coverage}
     chosen = settings.model
@@ -205,6 +211,10 @@ def estimate_effort(
         intervals=effort_intervals(days),
         annual_draws=annual_draws(days, seasons, settings),
     )
+    if settings.folds:
+        out["cross_validation"] = cross_validation(
+            pairs, rows.camera_copies, chosen, seasons, settings
+        )
     if validation is not None:
         rows = impute.as_groups(impute.holdout_rows(validation))
         out["error"] = impute.holdout_error(
@@ -213,6 +223,34 @@ def estimate_effort(
     return out
 
 
+def _refuse_unconverged(fit: DataFrame, settings: Settings) -> None:
+    if not settings.accept_unconverged:
+        # One row for each variant, six at most, and fold.
+        failed = sorted(r["variant"] for r in fit.filter("not converged").collect())
+        if failed:
+            raise RuntimeError(f"the fit did not converge for {', '.join(failed)}")
+
+
+def cross_validation(
+    pairs: DataFrame, cameras: DataFrame, chosen: int = 1, seasons: Seasons | None = None,
+    settings: Settings = Settings(), fitted: bool = True,
+) -> DataFrame:
+    """Error of each fold at a model fitted on the others; with ``fitted`` False at the
+    moments of the sensors' own estimates, without the fits."""
+    n = settings.folds
+    folded = folds.with_fold(pairs, n, settings.seed)
+    # Written once: the statistics and the rows to impute are both read from it.
+    folded = materialize(calibration_pairs(folded, seasons, settings))
+    effects = folds.fold_effects(folded, coverage.sensors_of(cameras), n, settings.detail)
+    if fitted:
+        hyper = folds.fit_folds(effects, chosen, n)
+        _refuse_unconverged(hyper, settings)
+    else:
+        hyper = model.start_hyper(effects)
+    params = folds.fold_params(model.effect_modes(effects, hyper), chosen)
+    return folds.cross_validation_error(folded, materialize(params), settings.p_seen_mode)
+
+
 def effort_draws(days: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Daily effort, one row per draw, from its vectors."""
     names = ("zero_effort", "pos_effort", "effort")
