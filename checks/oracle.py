@@ -799,6 +799,27 @@ def _oracles() -> dict[str, str]:
         f"(SELECT site_id, cam_location AS location, {', '.join(season_sums.values())} "
         "FROM matched GROUP BY ALL) USING (site_id, location)"
     )
+    # Read from the cells of the statistics stage, the same results.
+    for name in (
+        "a1_true_zero_counts", "a1_true_zero_counts_by_season", "a8_sensor_stats", "a8_sensor_stats_one_season",
+    ):
+        o[f"{name}_from_cells"] = o[name]
+    cell_sums = {
+        "n_pairs": "true", "zero_rows": "cam_count = 0",
+        "zero_known": "cam_count = 0 AND ground_count IS NOT NULL",
+        "true_zeros": "cam_count = 0 AND ground_count = 0",
+        "false_zeros": "cam_count = 0 AND ground_count > 0",
+    }
+    counted = ", ".join(f"count(*) FILTER ({rows}) AS {c}" for c, rows in cell_sums.items())
+    o["a8_pair_cells"] = sql(
+        'SELECT p_seen, area, weekend, time_of_day, "hour", "year", cam_location, site_id, season_code, '
+        f"{counted}, coalesce(sum(ground_count) FILTER (cam_count = 0 AND ground_count > 0), 0)::BIGINT AS fz_ground, "
+        "coalesce(sum(ground_count) FILTER (cam_count > 0), 0)::BIGINT AS pos_ground, "
+        "coalesce(sum(cam_count) FILTER (cam_count > 0 AND ground_count IS NOT NULL), 0)::BIGINT AS pos_cam, "
+        "round(coalesce(sum(CASE WHEN cam_count > 0 THEN ground_count * ln(cam_count) ELSE 0 END "
+        "- lgamma(ground_count + 1)) FILTER (cam_count > 0 OR ground_count > 0), 0), 4) + 0.0 AS log_counts "
+        "FROM matched GROUP BY ALL"
+    )
     profile = [
         ("zero_pairs", "tzc", "cam_location"), ("false_zero", "false_zero", "cam_location"),
         ("positive", "positive", "cam_location"),
@@ -936,6 +957,7 @@ def _oracles() -> dict[str, str]:
         rounded(param_draws("par1", N_DRAWS), six, who) + " WHERE draw > 6 AND (draw - 6) % 2 = 0",
     )
     o["m7_model_dic"] = sql(modes(), DIC, dic_out)
+    o["m7_log_constant"] = sql(modes(), DIC, "SELECT round(c, 4) + 0.0 AS log_constant FROM const")
     new_cols = (
         "variant, draw, m + z1 / sqrt(p) AS theta, "
         "CASE WHEN contains(variant, '_') THEN m_cov + z2 / sqrt(p_cov) ELSE 0 END AS beta"

@@ -19,6 +19,7 @@ from sensorfill.operators import (
     pairing as R,
     posterior as Q,
     prepare as P,
+    statistics as T,
     vectors as V,
 )
 from sensorfill.operators.scale import materialize, use_checkpoint_dir
@@ -80,6 +81,11 @@ def pairs(spark, sf):
     return R.matched_pairs(rows.ground, rows.camera_copies)
 
 
+def stage(spark, sf):
+    """What one reading of the observations leaves."""
+    return E.statistics_stage(raw_obs(spark, sf), raw_sites(spark, sf), SETTINGS)
+
+
 def seasons(spark, sf):
     return E.kept_seasons(cameras(spark, sf), SETTINGS)
 
@@ -95,9 +101,7 @@ def imputed_rows(spark, sf):
 
 
 def effects(spark, sf):
-    rows = inputs(spark, sf)
-    both = R.matched_pairs(rows.ground, rows.camera_copies)
-    return E.calibration_effects(both, rows.camera_copies)
+    return E.stage_effects(stage(spark, sf))
 
 
 def modes(spark, sf):
@@ -105,8 +109,15 @@ def modes(spark, sf):
     return M.effect_modes(table, M.start_hyper(table))
 
 
+def calibrated(spark, sf):
+    """The stage, the effects and the modes at the starting hyperparameters."""
+    once = stage(spark, sf)
+    table = E.stage_effects(once)
+    return once, table, M.effect_modes(table, M.start_hyper(table))
+
+
 def everything(spark, sf):
-    """Inputs, pairs, effects, starting hyperparameters and modes."""
+    """Inputs, pairs, effects, starting hyperparameters and modes, from the rows."""
     rows = inputs(spark, sf)
     both = R.matched_pairs(rows.ground, rows.camera_copies)
     table = E.calibration_effects(both, rows.camera_copies)
@@ -347,6 +358,15 @@ def a1_true_false_zeros_by_hour(spark, sf):
     return zeros.withColumn("n_false_zero", F.col("n_zero_cam") - F.col("n_zero_eff"))
 
 
+def a1_true_zero_counts_from_cells(spark, sf):
+    return T.true_zero_counts(stage(spark, sf).cells)
+
+
+def a1_true_zero_counts_by_season_from_cells(spark, sf):
+    keys = [k for k in R.TRUE_ZERO_KEYS if k != "p_seen"] + ["season_code"]
+    return T.true_zero_counts(stage(spark, sf).cells, keys)
+
+
 def a2_days_total(spark, sf):
     return C.days_total(C.season_days(C.camera_hours(C.imputation_rows(cameras(spark, sf)))))
 
@@ -393,6 +413,20 @@ def a8_sensor_stats_one_season(spark, sf):
     return M.sensor_stats(both, C.sensors_of(rows.camera_copies), SEASON)
 
 
+def a8_sensor_stats_from_cells(spark, sf):
+    once = stage(spark, sf)
+    return T.sensor_stats(once.cells, once.sensors)
+
+
+def a8_sensor_stats_one_season_from_cells(spark, sf):
+    once = stage(spark, sf)
+    return T.sensor_stats(once.cells, once.sensors, SEASON)
+
+
+def a8_pair_cells(spark, sf):
+    return rounded(stage(spark, sf).cells, 4)
+
+
 def a9_sum_effort_daily(spark, sf):
     return rounded(expected_daily(spark, sf)[1])
 
@@ -585,16 +619,18 @@ def m6_thin_draws(spark, sf):
 
 
 def _dic(spark, sf):
-    _, both, table, _, found = everything(spark, sf)
-    draws = M.draw_effects(found, N_DRAWS, SEED)
-    constant = M.log_constants(both, R.true_zero_counts(both))
-    return M.model_dic(M.variant_deviance(draws, table), constant)
+    once, table, found = calibrated(spark, sf)
+    return E.choose_model(table, found, T.log_constants(once.cells), replace(SETTINGS, seed=SEED))
 
 
 def m7_model_dic(spark, sf):
     return rounded(_dic(spark, sf), 4)
 
 
+def m7_log_constant(spark, sf):
+    return rounded(T.log_constants(stage(spark, sf).cells), 4)
+
+
 def m8_new_sensor_effects(spark, sf):
     return rounded(M.new_sensor_effects(M.start_hyper(effects(spark, sf))))
 
@@ -604,8 +640,8 @@ def m8_new_sensor_effects(spark, sf):
 
 def expected_daily(spark, sf, p_seen_mode="none", model=1):
     """Seasons, expected daily effort, groups and parameters."""
-    rows, _, _, _, pooled = everything(spark, sf)
-    found = E.kept_seasons(rows.cameras, SETTINGS)
+    once, _, pooled = calibrated(spark, sf)
+    found = E.kept_seasons(once.cameras, SETTINGS)
     params = materialize(M.sensor_params(pooled, model))
     groups = I.effort_groups(found.hours)
     expected = I.expected_effort(groups, params, p_seen_mode)
@@ -698,11 +734,10 @@ def i6_effort_annual_fitted(spark, sf):
 
 def i6_effort_annual_posterior(spark, sf):
     """Yearly effort over draws of the hyperparameters, the effects and the counts."""
-    rows = inputs(spark, sf)
-    both = R.matched_pairs(rows.ground, rows.camera_copies)
-    table = E.calibration_effects(both, rows.camera_copies)
+    once = stage(spark, sf)
+    table = E.stage_effects(once)
     grid = materialize(N.hyper_grid(table, M.fit_hierarchical(table, ["d", "L", "a"])))
-    found = E.kept_seasons(rows.cameras, SETTINGS)
+    found = E.kept_seasons(once.cameras, SETTINGS)
     params = N.mixed_vectors(table, grid, 1, N_DRAWS, SEED)
     days = _day_vectors(I.effort_groups(found.hours), params)
     return rounded(E.annual_draws(days, found, SETTINGS), 4)
@@ -734,7 +769,8 @@ def i7_cross_validation(spark, sf):
     rows = inputs(spark, sf)
     both = R.matched_pairs(rows.ground, rows.camera_copies)
     settings = replace(SETTINGS, folds=N_FOLDS, seed=SEED)
-    return rounded(E.cross_validation(both, rows.camera_copies, 1, None, settings, fitted=False))
+    sensors = C.sensors_of(rows.camera_copies)
+    return rounded(E.cross_validation(both, sensors, 1, None, settings, fitted=False))
 
 
 # --- gap filling ------------------------------------------------------------------

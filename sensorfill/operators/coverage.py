@@ -76,16 +76,19 @@ HOUR_KEYS = list(
 def camera_hours(rows: DataFrame) -> DataFrame:
     """Camera rows counted per site-season, day, hour, sensor and part.
 
+    ``n_rows`` is a row's number, one where the column is missing.
+
     Everything after the pairing needs no more than this table, whose size follows
     the sensors and hours, not the rows. Rows with an unknown count are kept as a
     part of their own, as they count as observed.
     """
+    n = F.col("n_rows") if "n_rows" in rows.columns else F.lit(1)
     return (
         rows.withColumn("is_zero", is_zero())
         .groupBy(*HOUR_KEYS)
         .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.sum("cam_count").alias("cam_sum"),
+            F.sum(n).alias("n_rows"),
+            F.sum(F.col("cam_count") * n).alias("cam_sum"),
             F.min("obs_seq").alias("first_seq"),
         )
     )

@@ -52,7 +52,7 @@ PRECISION_BOUNDS = (1e-4, 1e5)
 
 EFFECTS = ("d", "L", "a")
 HYPER = ("m", "p", "m_cov", "p_cov")
-_SUMS = [
+SUMS = [
     f"{name}_{level}"
     for name in ("false_zeros", "zero_pairs", "fz_ground", "fz_rows", "pos_ground", "pos_cam")
     for level in (0, 1)
@@ -99,9 +99,9 @@ def sensor_stats(
     long = pairs.select(*by, "site_id", F.col("cam_location").alias("location"), *values)
     long = long.filter(F.col("location").isNotNull())
     if sensors is not None:
-        none = [F.lit(0).cast("bigint").alias(name) for name in _SUMS]
+        none = [F.lit(0).cast("bigint").alias(name) for name in SUMS]
         long = long.unionByName(sensors.select(*[F.lit(None).alias(c) for c in by], *S.SENSOR, *none))
-    return long.groupBy(*by, *S.SENSOR).agg(*[F.sum(name).alias(name) for name in _SUMS])
+    return long.groupBy(*by, *S.SENSOR).agg(*[F.sum(name).alias(name) for name in SUMS])
 
 
 def effect_table(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 * ``materialize`` writes a table to the shared checkpoint folder, so later steps
   neither recompute it nor depend on the executors that made it.
+* ``written`` does the same by column, for tables read in part by several steps.
 * ``as_lookup`` and ``lookup_join`` broadcast a table only after measuring it.
 * ``running_sums`` and ``global_index`` number rows over a whole table by a range
   partitioned sort plus one offset per partition, never in a single task.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -53,6 +55,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the checkpoint folder and continue from there.
+
+    Later steps read the columns they use alone, and their filters reach the files.
+    """
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize_measured(df: DataFrame) -> tuple[DataFrame, int]:
     """``materialize``, and the size of the table as seen while writing.
 

@@ -1,22 +1,22 @@
 """Whole jobs: calibrate, impute, fill and report.
 
-The observations are never written whole. They are read for the site names, for
-the pairs (down to twelve sums per sensor) and for the camera rows (down to counts
-per hour and sensor). The sums and the counts are written to the checkpoint
-folder; every later step starts from them.
+The observations are read once, into counts of unique rows by site, slot and count
+(``statistics``). Site names, sensors, pairs and camera hours come from these counts;
+the pairs become cells, the cells twelve sums per sensor. Only a hold-out and the
+folds, which tell single rows apart, read the rows themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorfill import schema as S
-from sensorfill.operators import coverage, folds, gapfill, impute, model, nested, pairing, prepare, vectors
-from sensorfill.operators.scale import materialize
+from sensorfill.operators import coverage, folds, gapfill, impute, model, nested, pairing, prepare, statistics, vectors
+from sensorfill.operators.scale import materialize, written
 
 
 @dataclass(frozen=True)
@@ -80,6 +80,36 @@ class Seasons:
     coverage: DataFrame
 
 
+@dataclass(frozen=True)
+class Stage:
+    """What one reading of the observations leaves: counted camera rows, cells of the
+    pairs (``statistics.pair_cells``), and the sensors."""
+
+    cameras: DataFrame
+    cells: DataFrame
+    sensors: DataFrame
+
+
+def statistics_stage(
+    raw_observations: DataFrame, raw_sites: DataFrame, settings: Settings = Settings()
+) -> Stage:
+    counts = statistics.slot_counts(raw_observations)
+    site_dim = prepare.site_table(counts, prepare.normalize_sites(raw_sites))
+    keyed = statistics.keyed_counts(counts, site_dim, settings.excluded)
+    cameras = prepare.camera_rows(keyed)
+    cells = written(statistics.pair_cells(statistics.matched_counts(keyed)))
+    return Stage(cameras, cells, coverage.sensors_of(cameras))
+
+
+def stage_effects(
+    stage: Stage, seasons: Seasons | None = None, settings: Settings = Settings()
+) -> DataFrame:
+    """``calibration_effects`` from the cells."""
+    cells = calibration_pairs(stage.cells, seasons, settings)
+    stats = statistics.sensor_stats(cells, stage.sensors, settings.detail)
+    return model.effect_table(materialize(stats))
+
+
 def keyed_inputs(
     raw_observations: DataFrame, raw_sites: DataFrame, settings: Settings = Settings()
 ) -> Inputs:
@@ -170,21 +200,24 @@ def estimate_effort(
     comparison (with ``run_all``), ``error`` the hold-out error (with ``eval_fit``) and
     ``cross_validation`` that of every fold (with ``folds``). The fit and the daily means are computed here, the rest when used.
     """
-    rows = keyed_inputs(raw_observations, raw_sites, settings)
-    pairs = pairing.matched_pairs(rows.ground, rows.camera_copies)
-    seasons = kept_seasons(rows.cameras, settings)
+    stage = statistics_stage(raw_observations, raw_sites, settings)
+    seasons = kept_seasons(stage.cameras, settings)
     validation = None
+    if settings.eval_fit or settings.folds:
+        rows = keyed_inputs(raw_observations, raw_sites, settings)
+        pairs = pairing.matched_pairs(rows.ground, rows.camera_copies)
     if settings.eval_fit:
         pairs, validation = pairing.holdout_split(pairs, settings.psamp, settings.seed)
+        stage = replace(stage, cells=written(statistics.pair_cells(pairs)))
 
-    effects = calibration_effects(pairs, rows.camera_copies, seasons, settings)
+    effects = stage_effects(stage, seasons, settings)
     fit = model.fit_hierarchical(effects)
     _refuse_unconverged(fit, settings)
     modes = materialize(model.effect_modes(effects, fit))
     out = {"fit": fit, "coverage": seasons.coverage}
     chosen = settings.model
     if settings.run_all:
-        constant = model.log_constants(pairs, pairing.true_zero_counts(pairs))
+        constant = statistics.log_constants(stage.cells)
         out["dic"] = materialize(choose_model(effects, modes, constant, settings))
         chosen = model.best_model(out["dic"]).orderBy("model").first()["model"]
     params = model.sensor_params(modes, chosen)
@@ -213,7 +246,7 @@ def estimate_effort(
     )
     if settings.folds:
         out["cross_validation"] = cross_validation(
-            pairs, rows.camera_copies, chosen, seasons, settings
+            pairs, stage.sensors, chosen, seasons, settings
         )
     if validation is not None:
         rows = impute.as_groups(impute.holdout_rows(validation))
@@ -232,7 +265,7 @@ def _refuse_unconverged(fit: DataFrame, settings: Settings) -> None:
 
 
 def cross_validation(
-    pairs: DataFrame, cameras: DataFrame, chosen: int = 1, seasons: Seasons | None = None,
+    pairs: DataFrame, sensors: DataFrame, chosen: int = 1, seasons: Seasons | None = None,
     settings: Settings = Settings(), fitted: bool = True,
 ) -> DataFrame:
     """Error of each fold at a model fitted on the others; with ``fitted`` False at the
@@ -241,7 +274,7 @@ def cross_validation(
     folded = folds.with_fold(pairs, n, settings.seed)
     # Written once: the statistics and the rows to impute are both read from it.
     folded = materialize(calibration_pairs(folded, seasons, settings))
-    effects = folds.fold_effects(folded, coverage.sensors_of(cameras), n, settings.detail)
+    effects = folds.fold_effects(folded, sensors, n, settings.detail)
     if fitted:
         hyper = folds.fit_folds(effects, chosen, n)
         _refuse_unconverged(hyper, settings)
