@@ -1192,6 +1192,12 @@ def _oracles() -> dict[str, str]:
     o["q4_density_grid_new_sensor"] = sql(
         modes(), rounded("(" + " UNION ALL ".join(quantities) + ")", ["x", "density"], "param, i", 4)
     )
+    # By day sets, the same results.
+    for name in (
+        "a2_days_total", "a3_season_coverage", "g3_donor_usable", "g4_fill_days", "u2_common_days",
+        "u3_uncommon_days", "u4_active_days", "u4_active_day_counts",
+    ):
+        o[f"{name}_by_sets"] = o[name]
     return o
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sensorfill import schema as S
 from sensorfill.operators import (
     coverage as C,
+    daysets as D,
     gapfill as G,
     impute as I,
     model as M,
@@ -126,8 +127,23 @@ def everything(spark, sf):
 
 
 def given_days(spark, sf):
+    """Seasons, the days of their donors row by row, and the pairs to fill from."""
     found = seasons(spark, sf)
-    return found, *E.given_days(found, SETTINGS)
+    donors = G.donors(G.season_attributes(found.hours))
+    given = materialize(G.donor_days(donors, found.days))
+    return found, given, G.usable_pairs(G.donor_usable(given))
+
+
+def sets(spark, sf):
+    """Day sets of the kept seasons, and those of the seasons with their donors."""
+    hours = E.kept_seasons(stage(spark, sf).cameras, SETTINGS).hours
+    found = materialize(D.season_sets(hours))
+    return found, materialize(D.pair_sets(G.donors(G.season_attributes(hours)), found))
+
+
+def fill_sets(spark, sf):
+    found, pairs = sets(spark, sf)
+    return found, materialize(D.fill_sets(pairs.filter("usable")))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -371,6 +387,16 @@ def a2_days_total(spark, sf):
     return C.days_total(C.season_days(C.camera_hours(C.imputation_rows(cameras(spark, sf)))))
 
 
+def a2_days_total_by_sets(spark, sf):
+    hours = C.camera_hours(C.imputation_rows(cameras(spark, sf)))
+    return D.days_total(D.season_sets(hours))
+
+
+def a3_season_coverage_by_sets(spark, sf):
+    hours = C.camera_hours(C.imputation_rows(cameras(spark, sf)))
+    return rounded(D.season_coverage(materialize(D.season_sets(hours))))
+
+
 def a3_season_coverage(spark, sf):
     return rounded(seasons(spark, sf).coverage)
 
@@ -528,6 +554,22 @@ def u3_uncommon_days(spark, sf):
     return G.uncommon_days(given_days(spark, sf)[1])
 
 
+def u2_common_days_by_sets(spark, sf):
+    return D.common_days(sets(spark, sf)[1])
+
+
+def u3_uncommon_days_by_sets(spark, sf):
+    return D.uncommon_days(sets(spark, sf)[1])
+
+
+def u4_active_days_by_sets(spark, sf):
+    return D.active_days(*fill_sets(spark, sf))
+
+
+def u4_active_day_counts_by_sets(spark, sf):
+    return D.active_day_counts(*fill_sets(spark, sf))
+
+
 def u4_active_days(spark, sf):
     found, given, usable = given_days(spark, sf)
     return G.active_days(found.days, G.fill_days(given, usable))
@@ -788,6 +830,14 @@ def g3_donor_usable(spark, sf):
     return G.donor_usable(given_days(spark, sf)[1])
 
 
+def g3_donor_usable_by_sets(spark, sf):
+    return D.donor_usable(sets(spark, sf)[1])
+
+
+def g4_fill_days_by_sets(spark, sf):
+    return D.fill_days(fill_sets(spark, sf)[1])
+
+
 def g4_fill_days(spark, sf):
     _, given, usable = given_days(spark, sf)
     return G.fill_days(given, usable)

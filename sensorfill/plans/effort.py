@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorfill import schema as S
-from sensorfill.operators import coverage, folds, gapfill, impute, model, nested, pairing, prepare, statistics, vectors
+from sensorfill.operators import coverage, daysets, folds, gapfill, impute, model, nested, pairing, prepare, statistics, vectors
 from sensorfill.operators.scale import materialize, written
 
 
@@ -173,12 +173,12 @@ def given_days(
     """The days of each season's donors, and the pairs to fill from."""
     attributes = gapfill.season_attributes(seasons.hours)
     donors = gapfill.donors(attributes, settings.n_compl)
-    # A few hundred rows per season at most, used three times.
-    given = materialize(gapfill.donor_days(donors, seasons.days))
+    # A row per season and donor, its days as bits; no join on days.
+    found = materialize(daysets.pair_sets(donors, daysets.season_sets(seasons.hours)))
     pairs = gapfill.usable_pairs(
-        gapfill.donor_usable(given), settings.require_all_donors, settings.n_compl
+        daysets.donor_usable(found), settings.require_all_donors, settings.n_compl
     )
-    return given, pairs
+    return daysets.donor_days(found), pairs
 
 
 def fill_gaps(
