@@ -1175,6 +1175,32 @@ def _oracles() -> dict[str, str]:
         ),
         rounded("(SELECT * REPLACE (x * top AS x, density / top AS density) FROM dens)", ["x", "density"], sensor + ", i", 4),
     )
+    values = ", ".join(x for x, _ in natural)
+    o["q4_binned_density"] = sql(
+        modes(),
+        density(
+            f"SELECT site_id, location, draw, unnest({[n for _, n in natural]}) AS param, "
+            f"unnest([{', '.join(f'{end!r}::DOUBLE' for end in ends)}]) AS top, "
+            f"unnest([{values}]) AS value FROM {PAIR_DRAWS}", sensor + ", top", 1.0,
+        ).split("dens AS (")[0].rstrip().rstrip(","),
+        f"""
+cut AS (
+  SELECT {sensor}, w, top / 511 AS step, greatest(ceil(16 * (top / 511) / w), 1) AS parts,
+         value / (top / 511 / greatest(ceil(16 * (top / 511) / w), 1)) AS place
+  FROM src JOIN width USING ({sensor}, top))""",
+        f"""
+cells AS (
+  SELECT {sensor}, w, step, parts, cell, sum(weight) AS weight FROM (
+    SELECT {sensor}, w, step, parts, unnest([floor(place), floor(place) + 1]) AS cell,
+           unnest([floor(place) + 1 - place, place - floor(place)]) AS weight FROM cut)
+  GROUP BY ALL)""",
+        f"""
+points AS (
+  SELECT {sensor}, i::INTEGER AS i, i * step AS x,
+         sum(weight * exp(-0.5 * ((i * step - cell * (step / parts)) / w) ** 2)) / ({N_DRAWS} * w * sqrt(2 * pi())) AS density
+  FROM cells, range(0, 512) t(i) GROUP BY {sensor}, i, step, w)""",
+        rounded("points", ["x", "density"], sensor + ", i", 4),
+    )
     quantities = []
     for param, variant, effect, end in (
         ("p_false_zero", "d", "theta", 1.0), ("false_zero_mean_weekday", "L_wk", "theta", 10.0),

@@ -912,6 +912,14 @@ def q4_density_grid_quantities(spark, sf):
     return rounded(out, 4)
 
 
+def q4_binned_density(spark, sf):
+    """All reported quantities in one job, from weights of cells."""
+    natural = Q.back_transform(_draws(spark, sf))
+    # Written, as the bandwidths and the cells both read the draws.
+    draws = materialize(Q.long_draws(natural, list(Q.GRID_ENDS)))
+    return rounded(Q.binned_density(draws, Q.GRID_ENDS), 4)
+
+
 def q4_density_grid_new_sensor(spark, sf):
     found = M.new_sensor_effects(M.start_hyper(effects(spark, sf)))
     return rounded(Q.new_sensor_density(found), 4)

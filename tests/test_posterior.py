@@ -58,3 +58,38 @@ def test_compare_fits_keeps_parameters_of_either_side(spark):
     b = a.filter("param = 'm'").withColumn("estimate", F.lit(0.75))
     got = {r["param"]: (r["first"], r["second"], r["difference"]) for r in posterior.compare_fits(a, b).collect()}
     assert got == {"m": (1.0, 0.75, 0.25), "p": (2.0, None, None)}
+
+
+def sensors(spark, groups):
+    rows = [(p, s, 1, 1, i, float(v)) for s, (p, values) in enumerate(groups) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "param string, site_id int, location int, chain int, draw int, value double")
+
+
+def test_binned_density_is_near_the_exact_sum(spark):
+    rng = np.random.default_rng(9)
+    ends = {"p": 1.0, "q": 4.0}
+    groups = [
+        ("p", rng.beta(2, 5, 300)), ("p", rng.normal(0.5, 1e-4, 200)), ("p", np.full(6, 0.25)),
+        ("q", rng.gamma(3, 0.5, 250)), ("q", rng.normal(-1, 3, 100)), ("q", np.r_[rng.normal(2, 0.01, 50), 3.9]),
+        ("q", rng.normal(90, 0.5, 40)),
+    ]
+    got = posterior.binned_density(sensors(spark, groups), ends, n=64).toPandas()
+    assert len(got) == 64 * len(groups)
+    for s, (param, values) in enumerate(groups):
+        one = got[got.site_id == s].sort_values("i")
+        exact = density(np.asarray(values), ends[param], 64)
+        peak = 1 / (np.sqrt(2 * np.pi) * width_of(np.asarray(values)))
+        assert np.allclose(one["x"], np.linspace(0, ends[param], 64))
+        assert np.abs(one["density"] - exact).max() <= peak / 2048 + 1e-12
+
+
+def width_of(v):
+    q = np.quantile(v, [0.25, 0.75])
+    low = min(v.std(ddof=1), (q[1] - q[0]) / 1.34)
+    return 0.9 * (low or v.std(ddof=1) or abs(v[0]) or 1.0) * len(v) ** -0.2
+
+
+def test_binned_density_of_no_draws_and_of_other_quantities(spark):
+    df = sensors(spark, [("p", [0.5, 0.6]), ("other", [1.0, 2.0])])
+    assert posterior.binned_density(df, {"p": 1.0}, n=8).select("param").distinct().count() == 1
+    assert posterior.binned_density(df.filter("false"), {"p": 1.0}, n=8).count() == 0
