@@ -136,15 +136,28 @@ def in_training_order(mixed: DataFrame, tie: str = "doc_id") -> DataFrame:
     return each.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document, and when first."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    sizes = stored(with_size(docs).drop("text"), "sizes")
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["taken"])
-    return curriculum(sizes).select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"),
-        F.array_min(F.transform("copies", lambda c: c["position"])).alias("first_position"),
+def taken_in_order(mixed: DataFrame) -> DataFrame:
+    """Add ``taken`` (words) and first_position to rows (uid, doc_id, copies, ...) of a stored
+    table, from the copies of each unique ``uid`` in the training order.
+
+    The copies are range-sorted and written in that order, one file for each partition;
+    rows without copies have no words taken and no position.
+    """
+    order = stored(in_training_order(mixed.select("uid", "doc_id", "copies")), "order")
+    each = order.groupBy("uid").agg(
+        F.sum("copy.taken").alias("taken"), F.min("copy.position").alias("first_position")
     )
+    # Both sides have a row for each uid at most, so no key of the join is hot.
+    return mixed.join(each, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+
+
+def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and when first, from its training order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("uid"))
+    sizes = stored(with_size(docs).select("doc_id", "source", "size", "uid"), "sizes")
+    mixed = stored(curriculum(sizes), "mixed")
+    return taken_in_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
+from pathlib import Path
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sensorfill.llm import mixing as M
@@ -108,3 +110,53 @@ def test_mix_cuts_no_text(spark):
     assert all((r.text, r.n_chars) == given[r.doc_id] for r in rows)
     for i, (size, taken) in copies.items():
         assert sum(r.doc_id == i for r in rows) == sum(2 * t >= size for t in taken)
+
+
+KIND = "doc_id long, text string, source string"
+
+
+def mixed_docs(text, n=300):
+    """Documents with repeated and null ids, null sources, and some without words."""
+    rows = [(i, " ".join(text.words(text.number(40))), f"s{i % 4}" if i % 9 else None) for i in range(n)]
+    return rows + [(5, "again and again", "s1")] * 3 + [(None, "no id", "s0"), (None, "no id", None), (9000, None, "s2")]
+
+
+def test_query_goes_through_the_training_order(spark, text, tmp_path, monkeypatch, many_parts):
+    d = spark.createDataFrame(mixed_docs(text), KIND)
+    d.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    written, plain = {}, M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: written.setdefault(name, plain(df, name)))
+    rows = M.op8_mixing(spark, str(tmp_path)).collect()
+
+    # The files hold all copies, in the order of their positions from file to file.
+    files = sorted({Path(name.removeprefix("file:")) for name in written["order"].inputFiles()})
+    order = [r for f in files for r in pq.read_table(f).to_pylist()]
+    positions = [r["copy"]["position"] for r in order]
+    assert len(files) > 1 and positions == sorted(positions)
+    sizes = M.with_size(d.select("doc_id", "source", "text")).drop("text")
+    want = M.curriculum(sizes).collect()
+    copies = [(r.doc_id, c.epoch, c.taken, c.position) for r in want for c in r.copies]
+    assert sorted(map(str, copies)) == sorted(str((r["doc_id"], *r["copy"].values())) for r in order)
+
+    assert len(rows) == len(want)
+    found = [(r.doc_id, r["size"], r.source_size, r.target, r.taken, r.first_position) for r in rows]
+    want = [
+        (r.doc_id, r["size"], r.source_size, r.target, sum(c.taken for c in r.copies), min((c.position for c in r.copies), default=None))
+        for r in want
+    ]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
+def test_query_takes_what_the_training_order_holds(spark, text, tmp_path, monkeypatch):
+    spark.createDataFrame(mixed_docs(text), KIND).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = M.in_training_order
+    whole = M.op8_mixing(spark, str(tmp_path)).agg(F.sum("taken")).head()[0]
+    monkeypatch.setattr(M, "in_training_order", lambda *a: plain(*a).where("copy.epoch > 0"))
+    assert 0 < M.op8_mixing(spark, str(tmp_path)).agg(F.sum("taken")).head()[0] < whole
+
+
+def test_query_on_tables_without_words_or_rows(spark, tmp_path):
+    for name, rows in (("none", []), ("empty", [(1, None, "a"), (1, "", None), (None, " \n", "a")])):
+        spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found = M.op8_mixing(spark, f"{tmp_path}/{name}").collect()
+        assert [(r["size"], r.taken, r.first_position) for r in found] == [(0, 0, None)] * len(rows)
